@@ -20,7 +20,7 @@ def _ragged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(lists), np.r_[0, np.cumsum([len(x) for x in lists])[:-1]]
 
 
-def plan(lengths: Sequence[int], cells: int = 400_000) -> list[np.ndarray]:
+def plan(lengths: Sequence[int], cells: int = 60_000) -> list[np.ndarray]:
     """Groups of sequences of like length, each of at most ``cells`` padded tokens (or of one sequence)."""
     order = np.argsort(np.asarray(lengths), kind="stable")
     groups, at = [], 0
