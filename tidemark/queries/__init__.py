@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["training_core", "audit"]
+MODULES = ["training_core", "audit", "extras"]
 
 
 def _modules() -> list:

@@ -785,7 +785,11 @@ def _(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.excerpt(F.col("text"), 600).alias("excerpt"))
 
 
-@_query("prompt_key", None, "dpo_rows")
+@_query(
+    "prompt_key",
+    "SELECT row_id, CASE WHEN prompt IS NOT NULL THEN format('{:08x}', list_reduce(list_transform(range(1, length(substr(prompt, 1, 400)) + 1), lambda i: CAST(unicode(substr(prompt, i, 1)) AS BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT))) END AS key FROM dpo_rows",
+    "dpo_rows",
+)
 def _(dpo: DataFrame) -> DataFrame:
     return dpo.select("row_id", text.fnv32(F.col("prompt")).alias("key"))
 
