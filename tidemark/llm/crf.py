@@ -135,6 +135,8 @@ class ChainCRF:
 
     def emissions(self, sequences: list[list[str]]) -> list[np.ndarray]:
         """Log potentials of each sequence. Words beyond either end count as the empty word."""
+        if not sequences:
+            return []
         flat = [w for s in sequences for w in s]
         ids = self.ids([*flat, ""])
         pad, ids = ids[-1], ids[:-1]
@@ -146,8 +148,8 @@ class ChainCRF:
         for k, o in enumerate(self.offsets):
             at = place + o
             inside = (at >= low) & (at < high)
-            total += self.table[k][np.where(inside, ids[np.clip(at, 0, max(0, len(ids) - 1))] if len(ids) else pad, pad)]
-        return np.split(total, ends[:-1]) if len(sequences) else []
+            total += self.table[k][np.where(inside, ids[np.clip(at, 0, len(ids) - 1)] if len(ids) else pad, pad)]
+        return np.split(total, ends[:-1])
 
     def marginals(self, sequences: list[list[str]], kinds: list[np.ndarray] | None = None) -> list[np.ndarray]:
         """Posterior label probabilities [len, L] of each sequence by forward-backward."""
