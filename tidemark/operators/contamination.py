@@ -5,7 +5,7 @@ probe if its inner words equal the probe's inner words, so windows and probes me
 is verified on the words themselves: the first word must end with the probe's first, the last begin with its last,
 without a letter or digit beyond.
 
-Scale: probes are few; texts are cut into windows only where the first inner word is one of a probe. One row a (text,
+Scale: probes are few and sent to the tasks if their measured size allows; windows are digests only. One row a (text,
 probe) leaves the join.
 """
 
