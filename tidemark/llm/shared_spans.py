@@ -151,21 +151,18 @@ def shared_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = _texts(docs, id_col, text_col, min_chars)
     keyed = texts.select("id", F.unhex(F.md5("text")).alias("copy_key"), "text")
     sketch = keyed.mapInArrow(lambda it: _sketch(it, min_chars, width), "anchor long, copy_key binary, id long, at array<int>")
-    # one row for each anchor and text; the partitioning by anchor serves the dedupe, the count and the numbering
-    one = sketch.repartition(F.col("anchor")).groupBy("anchor", "copy_key").agg(F.min(F.struct("id", "at")).alias("m")).select("anchor", "m.id", "m.at")
-    held = (
-        one.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor")))
-        .where("n > 1")
-        .withColumn("block", F.floor((F.row_number().over(Window.partitionBy("anchor").orderBy("id")) - 1) / F.lit(BLOCK)).cast("int"))
-        .drop("n")
-    )
-    member = held.select("anchor", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"), F.col("id").alias("doc_b"), F.col("at").alias("at_b"))
-    block = held.select("anchor", "block", F.col("id").alias("doc_a"), F.col("at").alias("at_a"))
+    # one row for each anchor and text, spread by both; how many hold an anchor is counted before any shuffle by it
+    one = sketch.groupBy("anchor", "copy_key").agg(F.min(F.struct("id", "at")).alias("m")).select("anchor", "m.id", "m.at")
+    counts = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    # holders are dealt over blocks by hash; each meets its own block and those before it
+    held = one.join(counts, "anchor").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("anchor", "id", "at", "own")
+    member = held.select("anchor", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("block"), "own", F.col("id").alias("x"), F.col("at").alias("at_x"))
+    block = held.select("anchor", F.col("own").alias("block"), F.col("id").alias("y"), F.col("at").alias("at_y"))
+    met = block.join(member, ["anchor", "block"]).where("x <> y and (block < own or x < y)")
+    first = F.col("x") < F.col("y")
     pairs = (
-        block.join(member, ["anchor", "block"])
-        .where("doc_a < doc_b")
-        .groupBy("doc_a", "doc_b")
-        .agg(F.collect_list(F.struct("at_a", "at_b")).alias("seeds"))
+        met.groupBy(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
+        .agg(F.collect_list(F.struct(F.when(first, F.col("at_x")).otherwise(F.col("at_y")).alias("at_a"), F.when(first, F.col("at_y")).otherwise(F.col("at_x")).alias("at_b"))).alias("seeds"))
     )
     ensure_checkpoint_dir(docs.sparkSession)
     pairs = pairs.checkpoint()  # small beside the texts; without it the sketch would run again for each join below
@@ -224,7 +221,7 @@ def shared_share(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         each.select(F.col("doc_b").alias("class_id"), F.col("s.b").alias("start"), (F.col("s.b") + F.col("s.n")).alias("stop"), F.col("doc_a").alias("other"))
     )
     linked = links.select(F.col("doc_a").alias("class_id")).unionAll(links.select(F.col("doc_b").alias("class_id"))).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
-    covered = merge_spans(spans.drop("other"), ["class_id"]).groupBy("class_id").agg(F.sum(F.col("stop") - F.col("start")).alias("covered"), F.count(F.lit(1)).alias("n_spans"))
+    covered = merge_spans(spans.drop("other").distinct(), ["class_id"]).groupBy("class_id").agg(F.sum(F.col("stop") - F.col("start")).alias("covered"), F.count(F.lit(1)).alias("n_spans"))
     classes = copy_classes(docs, id_col, text_col, min_chars).select(F.col("id"), "class_id", F.lit(True).alias("copied"))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.length(text_col).alias("n_chars")).dropDuplicates(["id"])
     out = (
