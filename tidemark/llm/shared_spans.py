@@ -6,9 +6,9 @@ anchor the factor is followed in both directions to where the texts part, so its
 goes on behind the factor. Factors of at least ``min_chars`` are the shared spans.
 
 Scale. Texts are read twice and never grouped. Only anchors (about one in 60 characters) are shuffled, those held by
-one text are dropped, and exact copies count as one text from the first map task on. The holders of a frequent anchor
-are cut into reference blocks of ``BLOCK`` and every holder meets every block, each meeting in its own join row, so no
-task takes a whole group.
+one text are dropped, and exact copies count as one text from the start. The holders of a frequent anchor are dealt over
+reference blocks of about ``BLOCK`` and every holder meets its block and those before it, each meeting in its own join
+row, so no task takes a whole group.
 
 Defined results: null texts and texts below ``min_chars`` share nothing (share 0, or null for a null text); a text with
 a repeated id counts once per id; other columns are ignored; an empty table gives an empty result.
@@ -35,30 +35,15 @@ BLOCK = 64
 
 def _sketch(batches: Iterator[pa.RecordBatch], min_chars: int, width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, keys, texts = (batch.column(i).to_pylist() for i in range(3))
-        best: dict[bytes, int] = {}  # copies within a batch count once
-        for i, k in enumerate(keys):
-            if k not in best or ids[i] < ids[best[k]]:
-                best[k] = i
-        pick = sorted(best.values())
-        owner, pos, h = anchors([texts[i] for i in pick], width, min_chars - width + 1)
+        owner, pos, h = anchors(batch.column(1).to_pylist(), width, min_chars - width + 1)
         if not len(owner):
             continue
         order = np.lexsort((pos, h, owner))
-        owner, pos, h = owner[order], pos[order], h[order]
-        new = np.r_[True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])]
-        starts = np.flatnonzero(new)
-        offsets = np.r_[starts, len(owner)].astype(np.int32)
-        row = np.array(pick)[owner[starts]]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(h[starts].view(np.int64)),
-                pa.array(keys, pa.binary()).take(pa.array(row)),
-                pa.array(np.array(ids, np.int64)[row]),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(pos.astype(np.int32))),
-            ],
-            names=["anchor", "copy_key", "id", "at"],
-        )
+        owner, pos, h = owner[order], pos[order].astype("<i4"), h[order]
+        starts = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])])
+        offsets = np.r_[starts, len(owner)].astype(np.int32) * 4
+        places = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(pos.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(h[starts].view(np.int64)), batch.column(0).take(pa.array(owner[starts])), places], names=["anchor", "id", "at"])
 
 
 def _forward(a: str, i: int, b: str, j: int) -> int:
@@ -118,6 +103,10 @@ def parse(text: str, reference: str, seeds: list[tuple[list[int], list[int]]], m
     return found
 
 
+def _places(packed: bytes) -> list[int]:
+    return np.frombuffer(packed, "<i4").tolist()
+
+
 _SPAN = "array<struct<a:int,b:int,n:int>>"
 
 
@@ -127,7 +116,7 @@ def _verify(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.Re
         cols = {n: batch.column(n).to_pylist() for n in ("doc_a", "doc_b", "text_a", "text_b", "seeds")}
         a, b, spans = [], [], []
         for x, y, t, u, seeds in zip(*cols.values()):
-            got = parse(u, t, [(s["at_a"], s["at_b"]) for s in seeds], min_chars)
+            got = parse(u, t, [(_places(s["at_a"]), _places(s["at_b"])) for s in seeds], min_chars)
             if got:
                 a.append(x)
                 b.append(y)
@@ -149,13 +138,14 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def shared_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, width: int = WIDTH) -> DataFrame:
     """Links between different texts: (doc_a, doc_b, spans), doc_a < doc_b the least ids of their classes of copies."""
     texts = _texts(docs, id_col, text_col, min_chars)
-    keyed = texts.select("id", F.unhex(F.md5("text")).alias("copy_key"), "text")
-    sketch = keyed.mapInArrow(lambda it: _sketch(it, min_chars, width), "anchor long, copy_key binary, id long, at array<int>")
-    # one row for each anchor and text, spread by both; how many hold an anchor is counted before any shuffle by it
-    one = sketch.groupBy("anchor", "copy_key").agg(F.min(F.struct("id", "at")).alias("m")).select("anchor", "m.id", "m.at")
-    counts = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    # copies count as one text: all but the least id of a class are left out (few rows; broadcast only if so measured)
+    others = copy_classes(docs, id_col, text_col, min_chars).where("id <> class_id").select("id")
+    single = texts.join(others, "id", "left_anti").select("id", "text")
+    sketch = single.mapInArrow(lambda it: _sketch(it, min_chars, width), "anchor long, id long, at binary")
+    # how many texts hold an anchor is counted, combined in the map tasks, before any row goes by anchor
+    counts = sketch.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     # holders are dealt over blocks by hash; each meets its own block and those before it
-    held = one.join(counts, "anchor").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("anchor", "id", "at", "own")
+    held = sketch.join(counts, "anchor").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("anchor", "id", "at", "own")
     member = held.select("anchor", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("block"), "own", F.col("id").alias("x"), F.col("at").alias("at_x"))
     block = held.select("anchor", F.col("own").alias("block"), F.col("id").alias("y"), F.col("at").alias("at_y"))
     met = block.join(member, ["anchor", "block"]).where("x <> y and (block < own or x < y)")
