@@ -16,7 +16,7 @@ def pair(spark, rows):
 def pairs3(spark):
     q = lambda p, a: [(p, "user"), (a, "assistant")]
     rows = [
-        (0, "Interact as ChatGPT", q("Interact as ChatGPT", "As ChatGPT, sure"), q("Interact as ChatGPT", "no"), "wildchat"),
+        (0, "Interact as ChatGPT", q("Interact as ChatGPT", "As ChatGPT, sure"), q("Interact as ChatGPT", "no"), "web"),
         (1, "What is 2+2", q("What is 2+2", "As ChatGPT I would say 4"), q("What is 2+2", "5"), "math"),
         (2, "Say hi", q("Say hi", "hi"), q("Say hi", "HI"), "math"),
     ]

@@ -59,9 +59,9 @@ def test_step_layout_and_reading(spark, tmp_path):
     assert [list(r.ids) for r in got[:4]] == ids[40:60].reshape(4, 5).tolist() and len(got) == 8
     with pytest.raises(ValueError):
         shards.StreamLayout(7, 4, 5, cut).check()
-    pythia = shards.StreamLayout(143_000, 1024, 2049, [600_078_336_000])
-    pythia.check()
-    assert pythia.step_bytes == 4_196_352
+    long = shards.StreamLayout(143_000, 1024, 2049, [600_078_336_000])
+    long.check()
+    assert long.step_bytes == 4_196_352
 
 
 def test_markdown_table(spark):
