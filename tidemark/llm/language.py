@@ -73,11 +73,11 @@ def pieces(text: str) -> tuple[list[str], list[tuple[int, int]], np.ndarray, np.
 
 #: Frequent words of each language, a lexicon feature of the model (words of several languages stand in each).
 LEXICON = {
-    "en": "the of and to in is that it was for on are as with they be at this have from or had by but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see could no make than first been its who now people my made over did down only way find use may long little very after words called just where most know",
-    "de": "der die das und ist in den von zu mit sich auf für nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde wenn ich mir mich du dir kannst bitte danke kann warum was mein meine unter gegen vom dem des im keine schon sehr hier ihr wir uns jetzt immer mal genauer sagen",
-    "fr": "le la les de des du et est un une dans que qui en pour pas par sur plus ne se ce il au avec sont cette son ses nous vous je tu on mais ou où comme tout être fait aux leur peux peut pourquoi comment merci mon ma mes quel quelle aussi sans très même après avant encore deux ces donc si bien quand dire ici alors ton ta votre notre chez entre sous peu",
-    "es": "el la los las de que y en un una ser se no haber por con su para como estar tener le lo todo pero más hacer o poder decir este ir otro ese si me ya ver porque dar cuando él muy sin vez mucho saber qué sobre mi alguno mismo yo también hasta año dos querer entre así primero desde grande eso ni nos llegar pasar tiempo ella sí día uno bien poco cosa puedes puede gracias cómo algo tu al del es son está fue han",
-    "pt": "o a os as de que e do da em um uma para é com não por mais dos como mas foi ao ele das tem à seu sua ou ser quando muito há nos já está eu também só pelo pela até isso ela entre era depois sem mesmo aos ter seus quem nas me esse eles estão você tinha foram essa num nem suas meu às minha têm numa pelos elas havia seja qual será nós tenho lhe obrigado pode falar dizer sobre fale são no na se",
+    "en": "the of and to in is that it was for on are as with be at this have from or by but what all when there can an your how do will about more could thanks say why would",
+    "de": "der die das und ist in den von zu mit sich auf für nicht ein eine als auch es an werden aus dass wie einem über war oder aber ich du kannst bitte danke warum was genauer",
+    "fr": "le la les de des du et est un une dans que qui en pour pas par sur plus ne se ce il au avec cette nous vous je tu mais où comme peux pourquoi comment merci",
+    "es": "el la los las de que y en un una ser se no por con su para como lo todo pero más o este si me ya qué sobre mi también así puedes gracias cómo algo del",
+    "pt": "o a os as de que e do da em um uma para é com não por mais dos como mas ao ele das à seu sua ou já você também só pelo isso pode falar sobre obrigado qual",
 }
 _LEX: dict[str, list[str]] = {}
 for _lang, _words in LEXICON.items():
@@ -198,6 +198,8 @@ def sentence_languages(found: dict, labels: list[str], sure: float = 0.8) -> dic
         k = int(mean.argmax())
         if mean[k] < sure:  # in doubt the rest of the text decides
             k = int((mean + p.mean(0)).argmax())
+            if mean[k] < 0.4:
+                continue
         out[labels[k]] = max(out.get(labels[k], 0.0), float(mean[k]))
         y = found["y"][a:b]
         if (y != k).any():
