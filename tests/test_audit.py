@@ -225,3 +225,24 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([], "item_id long, benchmark string, question string, answer string")
     docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
     assert contamination.probe_hits(docs, ["doc_id"], "text", contamination.probes(items)).count() == 0
+
+
+def test_records(spark):
+    from tidemark.operators import records
+
+    df = spark.createDataFrame([(1, [("x" * 30 + "needle", "user"), (None, "user")]), (2, [("needle here", "user")]), (3, [("short", None)]), (4, None)], "row_id long, ms array<struct<content:string,role:string>>")
+    t = records.context_turns(df, "row_id", "ms", 20)
+    assert sorted((r.row_id, r.chars, r.sha is not None, len(r.text)) for r in t.collect()) == [(1, 36, True, 20), (2, 11, False, 11), (3, 5, False, 5)]
+    c = records.censored_counts(t, "row_id", text.literal_test("needle")).first()
+    assert (c.records, c.matched, c.censored, c.clear) == (3, 1, 1, 1)
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x")], "k long, label string")
+    b = spark.createDataFrame([(1, "x"), (2, "x"), (9, "x")], "k long, label string")
+    p = records.paired(a, b, "k", "label").first()
+    assert (p.pairs, p.agree, p.unpaired) == (2, 1, 2)
+    left = spark.createDataFrame([(1, "r1"), (2, "r1"), (3, None)], "k long, revision string")
+    right = spark.createDataFrame([(1, "r1", 5), (2, "r2", 6)], "k long, revision string, v int")
+    assert {r.k: r.status for r in records.guarded_join(left, right, ["k"]).collect()} == {1: "matched", 2: "stale", 3: "missing"}
+    items = spark.createDataFrame(ITEMS, "item_id long, benchmark string, question string, answer string")
+    probes = contamination.probes(items, 5, 3)
+    hits = spark.createDataFrame([(7, 0, "question")], "doc_id long, item_id long, part string")
+    assert {r.item_id: r.status for r in records.settle(items, probes, hits).collect()} == {0: "present", 1: "absent", 2: "unresolved"}
