@@ -174,10 +174,11 @@ SENTENCE_WORDS = 4
 SENTENCE_HAN = 4
 
 
-def _size(words: list[str]) -> float:
-    han = sum(len(w) for w in words if _HAN.search(w))
-    plain = sum(1 for w in words if len(w) > 1 or w in "aàeéoóyàuûñ") if han < 1 else 0
-    return max(plain / SENTENCE_WORDS, han / SENTENCE_HAN)
+def _sizes(words: list[str], starts: np.ndarray) -> np.ndarray:
+    """Size of each stretch that begins at ``starts``, 1 being the least of a sentence."""
+    han = np.add.reduceat(np.array([len(w) if "㐀" <= w[0] <= "鿿" else 0 for w in words]), starts)
+    plain = np.add.reduceat(np.array([len(w) > 1 or w in "aàeéoóyàuûñ" for w in words], np.int64), starts)
+    return np.where(han > 0, han / SENTENCE_HAN, plain / SENTENCE_WORDS)
 
 
 def sentence_languages(found: dict, labels: list[str], sure: float = 0.8) -> dict[str, float]:
@@ -187,26 +188,27 @@ def sentence_languages(found: dict, labels: list[str], sure: float = 0.8) -> dic
     by posterior. A long unbroken run in a second language inside a sentence counts too (a quoted or joined sentence).
     """
     out: dict[str, float] = {}
-    s, p, words = found["sentence"], found["p"], found["words"]
+    s, p, y, words = found["sentence"], found["p"], found["y"], found["words"]
     if not len(s):
         return out
-    edges = np.r_[np.flatnonzero(np.r_[True, s[1:] != s[:-1]]), len(s)]
-    for a, b in zip(edges[:-1], edges[1:]):
-        if _size(words[a:b]) < 1:
-            continue
-        mean = p[a:b].mean(0)
-        k = int(mean.argmax())
-        if mean[k] < sure:  # in doubt the rest of the text decides
-            k = int((mean + p.mean(0)).argmax())
-            if mean[k] < 0.4:
+    starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    stops = np.r_[starts[1:], len(s)]
+    means = np.add.reduceat(p, starts, axis=0) / (stops - starts)[:, None]
+    best = means.argmax(1)
+    for i in np.flatnonzero(_sizes(words, starts) >= 1).tolist():
+        a, b, k = int(starts[i]), int(stops[i]), int(best[i])
+        if means[i, k] < sure:  # in doubt the rest of the text decides
+            k = int((means[i] + p.mean(0)).argmax())
+            if means[i, k] < 0.4:
                 continue
-        out[labels[k]] = max(out.get(labels[k], 0.0), float(mean[k]))
-        y = found["y"][a:b]
-        if (y != k).any():
-            runs = np.r_[np.flatnonzero(np.r_[True, y[1:] != y[:-1]]), len(y)]
-            for c, d in zip(runs[:-1], runs[1:]):
-                if y[c] != k and _size(words[a + c : a + d]) >= 1.5 and (q := float(p[a + c : a + d, y[c]].mean())) >= 0.9:
-                    out[labels[y[c]]] = max(out.get(labels[y[c]], 0.0), q)
+        out[labels[k]] = max(out.get(labels[k], 0.0), float(means[i, k]))
+        inside = y[a:b]
+        if (inside != k).any():
+            runs = np.flatnonzero(np.r_[True, inside[1:] != inside[:-1]])
+            ends = np.r_[runs[1:], len(inside)]
+            for c, d in zip(runs[(inside[runs] != k)], ends[(inside[runs] != k)]):
+                if _sizes(words[a + c : a + d], np.zeros(1, np.int64))[0] >= 1.5 and (q := float(p[a + c : a + d, inside[c]].mean())) >= 0.9:
+                    out[labels[inside[c]]] = max(out.get(labels[inside[c]], 0.0), q)
     return out
 
 
