@@ -32,8 +32,33 @@ def local_session(cores: int | None = None, shuffle_partitions: int = 8, memory:
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers, wherever the driver was started; once a session.
+
+    The archive is served by the driver to every executor, also to those that join later.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="tidemark-code-")) / "tidemark.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(target))
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
