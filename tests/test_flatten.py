@@ -85,6 +85,45 @@ def test_structure_equals_recursion(records, ascii_only):
     assert sorted(scalars) == sorted(values)
 
 
+def every_scalar(body):
+    out = []
+
+    def walk(v, path):
+        for k, x in v.items() if isinstance(v, dict) else enumerate(v):
+            named = isinstance(v, dict)
+            if isinstance(x, (dict, list)):
+                walk(x, f"{path}.{k}" if named else f"{path}[{k}]")
+            else:
+                kind = "null" if x is None else "boolean" if isinstance(x, bool) else "string" if isinstance(x, str) else "number"
+                out.append((path, k if named else None, None if named else k, kind, None if x is None else x if isinstance(x, str) else json.dumps(x)))
+
+    walk(json.loads(body), "$")
+    return out
+
+
+def values_of(batch):
+    return [tuple(r[c] for c in ("record_id", "node", "field", "position", "kind", "value")) for out in flatten._scalars(iter([batch]), elements=True) for r in out.to_pylist()]
+
+
+@settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.dictionaries(st.text(min_size=1, max_size=4), tree, max_size=4), min_size=1, max_size=5), st.sampled_from([None, 1]))
+def test_every_scalar_equals_recursion(records, indent):
+    import pyarrow as pa
+
+    bodies = [json.dumps(r, indent=indent) for r in records]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(bodies)), pa.int64()), pa.array(bodies, pa.string())], names=["record_id", "body"])
+    assert sorted(map(repr, values_of(batch))) == sorted(repr((i, *v)) for i, b in enumerate(bodies) for v in every_scalar(b))
+
+
+def test_scalar_elements_of_arrays(spark):
+    body = '{"outputs": ["a, [b", {"text": "c"}, null, [1, [], true]], "messages": [ null , {"role": "user"}], "none": [ ]}'
+    df = spark.createDataFrame([(1, body), (2, "[1, 2]")], "record_id long, body string")
+    got = sorted(map(repr, ((r.node, r.field, r.position, r.kind, r.value) for r in flatten.json_values(df).collect())))
+    assert got == sorted(map(repr, every_scalar(body)))
+    assert repr(("$.outputs", None, 0, "string", "a, [b")) in got and repr(("$.outputs[3]", None, 2, "boolean", "true")) in got
+    assert repr(("$.messages", None, 0, "null", None)) in got
+
+
 def test_child_table_round_trip(spark):
     rows = [(1, [("u", "a"), ("v", None)]), (2, []), (3, None), (4, [None, ("w", "b")])]
     df = spark.createDataFrame(rows, "row_id long, ms array<struct<row_id:string,content:string>>")

@@ -184,23 +184,30 @@ def json_nodes(df: DataFrame, id_col: str = "record_id", body_col: str = "body")
     return keep.mapInArrow(_nodes, "record_id long, node string, parent string, depth int, position int")
 
 
-def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scalars(batches: Iterator[pa.RecordBatch], elements: bool) -> Iterator[pa.RecordBatch]:
+    """The scalar fields of the objects of each batch and, if wanted, the scalar elements of its arrays."""
     for batch in batches:
         rows, s, _ = _structure(batch.column(1))
         if not len(rows):
             continue
         paths = s.paths()
         data = s.data
-        # a field value is a scalar if the mark after its colon is no bracket
-        follow = s.colons + 1
+        # a value is a scalar if the mark after its colon (in an array after the opening bracket or the comma) is no bracket
         n = len(data)
         blank = np.isin(data, np.frombuffer(b" \t\r\n", np.uint8))
         next_plain = np.full(n + 1, n)
         idx = np.where(~blank, np.arange(n), n)
         next_plain[:n] = np.minimum.accumulate(idx[::-1])[::-1]
-        first = next_plain[follow]
-        scalar = (data[first] != _OPEN_OBJECT) & (data[first] != _OPEN_ARRAY)
-        first, colon = first[scalar], s.colons[scalar]
+        mark, owner = s.colons, _owner(s, s.colons)
+        if elements:
+            arrays = np.flatnonzero(~s.is_object)
+            around = _owner(s, s.commas)
+            between = ~s.is_object[around]
+            mark = np.r_[mark, s.at[arrays], s.commas[between]]
+            owner = np.r_[owner, arrays, around[between]]
+        first = next_plain[mark + 1]
+        scalar = ~np.isin(data[first], np.frombuffer(b"{[]", np.uint8))  # a closing bracket: the array is empty
+        first, owner = first[scalar], owner[scalar]
         if not len(first):
             continue
         is_text = data[first] == _QUOTE
@@ -208,16 +215,26 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.sort(np.concatenate([s.commas, s.close]))
         bare = marks[np.minimum(np.searchsorted(marks, first), max(0, len(marks) - 1))] if len(marks) else first
         stop = np.where(is_text, s.quotes[np.minimum(q + 1, len(s.quotes) - 1)] + 1, bare)
-        owner = _owner(s, colon)
         raw = [bytes(data[a:b]).decode().strip() for a, b in zip(first.tolist(), stop.tolist())]
         values = [json.loads(r) if r[:1] == '"' else None if r == "null" else r for r in raw]
         kind = ["string" if r[:1] == '"' else "null" if r == "null" else "boolean" if r in ("true", "false") else "number" for r in raw]
+        in_object = s.is_object[owner]
+        field = s.keys(first[in_object]).take(pa.array(np.cumsum(in_object) - 1, mask=~in_object))
+        position = np.zeros(len(first), np.int32)
+        for d in np.unique(s.depth[owner[~in_object]]):
+            level = np.flatnonzero(~in_object & (s.depth[owner] == d))
+            commas = s.commas[s.comma_depth == d]
+            position[level] = np.searchsorted(commas, first[level]) - np.searchsorted(commas, s.at[owner[level]])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(rows[s.row[owner]])), paths.take(pa.array(owner)), s.keys(first), pa.array(kind, pa.string()), pa.array(values, pa.string())],
-            names=["record_id", "node", "field", "kind", "value"],
+            [batch.column(0).take(pa.array(rows[s.row[owner]])), paths.take(pa.array(owner)), field, pa.array(kind, pa.string()), pa.array(values, pa.string()), pa.array(position, mask=in_object)],
+            names=["record_id", "node", "field", "kind", "value", "position"],
         )
 
 
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _scalars(batches, elements=False)
+
+
 def _owner(s: Structure, places: np.ndarray) -> np.ndarray:
     """The innermost bracket open at each place: level by level the last one opened before it, if not yet closed."""
     best = np.full(len(places), -1, np.int64)
@@ -229,9 +246,13 @@ def _owner(s: Structure, places: np.ndarray) -> np.ndarray:
 
 
 def json_values(df: DataFrame, id_col: str = "record_id", body_col: str = "body") -> DataFrame:
-    """(record_id, node, field, kind, value): the scalar fields of every object, the record itself being ``$``."""
+    """(record_id, node, field, kind, value, position): every scalar of a body, the record itself being ``$``.
+
+    The field of an object has its name in field and no position; the element of an array has no field, the array's path
+    in node and its place there in position.
+    """
     keep = df.select(F.col(id_col).cast("long").alias("record_id"), F.col(body_col).alias("body")).where("record_id is not null and body is not null")
-    return keep.mapInArrow(_values, "record_id long, node string, field string, kind string, value string")
+    return keep.mapInArrow(lambda it: _scalars(it, elements=True), "record_id long, node string, field string, kind string, value string, position int")
 
 
 # ------------------------------------------------------------------------------------------------------- typed nesting
