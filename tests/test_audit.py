@@ -246,3 +246,19 @@ def test_records(spark):
     probes = contamination.probes(items, 5, 3)
     hits = spark.createDataFrame([(7, 0, "question")], "doc_id long, item_id long, part string")
     assert {r.item_id: r.status for r in records.settle(items, probes, hits).collect()} == {0: "present", 1: "absent", 2: "unresolved"}
+
+
+def test_production_limits(spark, data):
+    import __spark_entry__ as entry
+    from pyspark.sql import functions as F
+
+    q = entry.queries()
+    sft = spark.read.parquet(f"{data}/sft_rows.parquet")
+    whole = F.exists("messages.content", lambda c: F.coalesce(F.contains(F.lower(F.left(c, F.lit(4000))), F.lit("bus timetable")), F.lit(False)))
+    got = q["search_censored_4000"](spark, data).first()
+    assert got.matched == sft.where(whole).count() > q["search_censored"](spark, data).first().matched
+    assert q["context_turns_4000"](spark, data).where("length(text) < least(chars, 4000)").count() == 0
+    dpo = spark.read.parquet(f"{data}/dpo_rows.parquet").select("row_id", F.concat("chosen.content", "rejected.content").alias("b"))
+    kept = {r.row_id: r.example for r in q["rendered_pairs"](spark, data).collect()}
+    short = [(r.row_id, r.b) for r in dpo.collect() if r.b and 1200 < sum(len(b or "") for b in r.b) < 6000]
+    assert short and all(b in kept[i] for i, bodies in short for b in bodies if b and b.strip())

@@ -68,7 +68,7 @@ def queries() -> dict[str, Query]:
         "pair_word_diff": lambda s, d: phrases.diff_summary(
             t(s, d, "dpo_rows").select("row_id", F.element_at(F.filter("chosen.content", lambda c: c.isNotNull()), -1).alias("a"), F.element_at(F.filter("rejected.content", lambda c: c.isNotNull()), -1).alias("b")), "row_id", "a", "b"
         ),
-        "rendered_pairs": lambda s, d: phrases.render_pairs(t(s, d, "dpo_rows"), "row_id", 1200),
+        "rendered_pairs": lambda s, d: phrases.render_pairs(t(s, d, "dpo_rows"), "row_id"),
         "stream_grep": _stream_grep,
         "stream_windows": _stream_windows,
         "saved_result": _saved,

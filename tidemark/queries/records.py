@@ -15,6 +15,9 @@ from tidemark.session import table
 
 _TURNS = "(SELECT row_id, CAST(i - 1 AS INTEGER) AS turn, messages[i].role AS role, substr(messages[i].content, 1, 200) AS text, CAST(length(messages[i].content) AS INTEGER) AS chars, CASE WHEN length(messages[i].content) > 200 THEN sha256(messages[i].content) END AS sha FROM (SELECT row_id, messages, unnest(range(1, len(messages) + 1)) AS i FROM sft_rows) x WHERE messages[i].content IS NOT NULL)"
 
+#: the same turns kept to the operator's default of 4000 characters
+_TURNS_4000 = _TURNS.replace("content, 1, 200)", "content, 1, 4000)").replace("> 200 THEN", "> 4000 THEN")
+
 
 def _matching(docs: DataFrame) -> DataFrame:
     hit, n = F.contains(F.lower("text"), F.lit("bus timetable")), F.length("text")
@@ -80,6 +83,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "context_turns": lambda s, d: records.context_turns(t(s, d, "sft_rows"), "row_id", "messages", 200),
         "search_censored": lambda s, d: records.censored_counts(records.context_turns(t(s, d, "sft_rows"), "row_id", "messages", 200), "row_id", text.literal_test("bus timetable")),
+        "context_turns_4000": lambda s, d: records.context_turns(t(s, d, "sft_rows"), "row_id", "messages"),
+        "search_censored_4000": lambda s, d: records.censored_counts(records.context_turns(t(s, d, "sft_rows"), "row_id", "messages"), "row_id", text.literal_test("bus timetable")),
         "item_status": contaminated,
         "labels_paired": unpaired,
         "matching_tokens": lambda s, d: _matching(t(s, d, "documents")),
@@ -104,6 +109,8 @@ UNION ALL SELECT row_id, 'reference', reward_model.ground_truth FROM rl_rows UNI
     return {
         "context_turns": f"SELECT * FROM {_TURNS} t",
         "search_censored": f"SELECT count(*) AS records, count(*) FILTER (WHERE hit) AS matched, count(*) FILTER (WHERE NOT hit AND cut) AS censored, count(*) FILTER (WHERE NOT hit AND NOT cut) AS clear FROM (SELECT row_id, bool_or(contains(lower(text), 'bus timetable')) AS hit, bool_or(sha IS NOT NULL) AS cut FROM {_TURNS} t GROUP BY 1) x",
+        "context_turns_4000": f"SELECT * FROM {_TURNS_4000} t",
+        "search_censored_4000": f"SELECT count(*) AS records, count(*) FILTER (WHERE hit) AS matched, count(*) FILTER (WHERE NOT hit AND cut) AS censored, count(*) FILTER (WHERE NOT hit AND NOT cut) AS clear FROM (SELECT row_id, bool_or(contains(lower(text), 'bus timetable')) AS hit, bool_or(sha IS NOT NULL) AS cut FROM {_TURNS_4000} t GROUP BY 1) x",
         "item_status": f"""SELECT item_id, CASE WHEN item_id IN (SELECT item_id FROM {_HITS} h) THEN 'present' WHEN parts > 0 AND parts = (SELECT count(*) FROM {_PROBES} p WHERE p.item_id = i.item_id) THEN 'absent' ELSE 'unresolved' END AS status
 FROM (SELECT item_id, (question IS NOT NULL)::INT + (answer IS NOT NULL)::INT AS parts FROM eval_items) i""",
         "labels_paired": f"""SELECT count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS pairs, count(*) FILTER (WHERE x = y) AS agree, count(*) FILTER (WHERE x IS NULL OR y IS NULL) AS unpaired FROM
