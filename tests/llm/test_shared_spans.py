@@ -62,6 +62,24 @@ def test_shares(spark):
     assert got[7].shared_share is None and got[8].shared_share is None and got[13].shared_chars == 0
 
 
+def brute_share(docs, size):
+    grams: dict[str, set[int]] = {}
+    for i, t in docs:
+        for k in range(len(t) - size + 1):
+            grams.setdefault(t[k : k + size], set()).add(i)
+    return {i: len({c for k in range(len(t) - size + 1) if len(grams[t[k : k + size]]) > 1 for c in range(k, k + size)}) for i, t in docs}
+
+
+def test_share_counts_every_place_on_both_sides(spark):
+    p, q = filler("p", 400), filler("q", 330)
+    twice = p + filler("x", 100) + p
+    docs = [(1, twice), (2, p), (3, q + "#" + filler("y", 90) + "%" + q + "~"), (4, "!" + q), (5, "^" + q + "=" + filler("z", 80) + "+" + q), (6, "ab" * 900), (7, "z" + "ab" * 300)]
+    for shown in (docs, [(10 - i, t) for i, t in docs]):
+        got = {r.doc_id: r.shared_chars for r in shared_spans.shared_share(spark.createDataFrame(shown, "doc_id long, text string")).collect()}
+        assert got == brute_share(shown, 320)
+    assert brute_share(docs, 320)[1] == 800
+
+
 def test_hot_stretch_loses_no_pair(spark):
     hot = filler("hot", 330)
     docs = [(i, filler(i, 60) + hot + filler(-i, 40)) for i in range(1, 3 * shared_spans.BLOCK // 2)]

@@ -107,6 +107,36 @@ def _places(packed: bytes) -> list[int]:
     return np.frombuffer(packed, "<i4").tolist()
 
 
+def shared_parts(text: str, reference: str, seeds: list[tuple[list[int], list[int]]], min_chars: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """All stretches [start, stop) of the text that stand in the reference too, and those of the reference, each merged.
+
+    seeds as for `parse`. Every place of an anchor in the text is followed with every place in the reference; a pair of
+    places whose stretch is known already, by its distance, is passed.
+    """
+    reach = np.full(len(text) + len(reference) + 1, -1, np.int64)  # of each distance, where its last stretch ends in the text
+    own: list[tuple[int, int]] = []
+    other: list[tuple[int, int]] = []
+    for p, refs in sorted(((p, np.array(refs, np.int64)) for refs, places in seeds for p in places), key=lambda x: x[0]):
+        for r in refs[reach[p - refs + len(reference)] <= p].tolist():
+            right = _forward(text, p, reference, r)
+            left = _backward(text, p, reference, r)
+            reach[p - r + len(reference)] = p + max(right, 1)
+            if left + right >= min_chars:
+                own.append((p - left, p + right))
+                other.append((r - left, r + right))
+    return _merged(own), _merged(other)
+
+
+def _merged(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for start, stop in sorted(parts):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(stop, out[-1][1]))
+        else:
+            out.append((start, stop))
+    return out
+
+
 _SPAN = "array<struct<a:int,b:int,n:int>>"
 
 
@@ -124,6 +154,24 @@ def _verify(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(spans, kind)], names=["doc_a", "doc_b", "spans"])
 
 
+_PART = "array<struct<start:int,stop:int>>"
+
+
+def _verify_parts(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    for batch in batches:
+        cols = {n: batch.column(n).to_pylist() for n in ("doc_a", "doc_b", "text_a", "text_b", "seeds")}
+        a, b, in_a, in_b = [], [], [], []
+        for x, y, t, u, seeds in zip(*cols.values()):
+            of_b, of_a = shared_parts(u, t, [(_places(s["at_a"]), _places(s["at_b"])) for s in seeds], min_chars)
+            if of_b:
+                a.append(x)
+                b.append(y)
+                in_a.append([{"start": i, "stop": j} for i, j in of_a])
+                in_b.append([{"start": i, "stop": j} for i, j in of_b])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(in_a, kind), pa.array(in_b, kind)], names=["doc_a", "doc_b", "in_a", "in_b"])
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= min_chars))
 
@@ -135,8 +183,8 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return keyed.join(classes, "copy_key").select("id", "class_id").distinct()
 
 
-def shared_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, width: int = WIDTH) -> DataFrame:
-    """Links between different texts: (doc_a, doc_b, spans), doc_a < doc_b the least ids of their classes of copies."""
+def _candidates(docs: DataFrame, id_col: str, text_col: str, min_chars: int, width: int) -> DataFrame:
+    """Pairs of different texts with a common anchor: (doc_a, doc_b, text_a, text_b, seeds), doc_a < doc_b as in `shared_links`."""
     texts = _texts(docs, id_col, text_col, min_chars)
     # copies count as one text: all but the least id of a class are left out (few rows; broadcast only if so measured)
     others = copy_classes(docs, id_col, text_col, min_chars).where("id <> class_id").select("id")
@@ -160,7 +208,12 @@ def shared_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept = texts.join(wanted, "id", "left_semi")  # broadcast only if its measured size allows
     a = kept.select(F.col("id").alias("doc_a"), F.col("text").alias("text_a"))
     b = kept.select(F.col("id").alias("doc_b"), F.col("text").alias("text_b"))
-    full = pairs.join(a, "doc_a").join(b, "doc_b").select("doc_a", "doc_b", "text_a", "text_b", "seeds")
+    return pairs.join(a, "doc_a").join(b, "doc_b").select("doc_a", "doc_b", "text_a", "text_b", "seeds")
+
+
+def shared_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, width: int = WIDTH) -> DataFrame:
+    """Links between different texts: (doc_a, doc_b, spans), doc_a < doc_b the least ids of their classes of copies."""
+    full = _candidates(docs, id_col, text_col, min_chars, width)
     return full.mapInArrow(lambda it: _verify(it, min_chars), f"doc_a long, doc_b long, spans {_SPAN}")
 
 
@@ -205,13 +258,11 @@ def shared_share(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Copies are not written out: a record's links are those of its class, and a record with a copy is shared whole.
     """
-    links = shared_links(docs, id_col, text_col, min_chars)
-    each = links.select("doc_a", "doc_b", F.explode("spans").alias("s"))
-    spans = each.select(F.col("doc_a").alias("class_id"), F.col("s.a").alias("start"), (F.col("s.a") + F.col("s.n")).alias("stop"), F.col("doc_b").alias("other")).unionByName(
-        each.select(F.col("doc_b").alias("class_id"), F.col("s.b").alias("start"), (F.col("s.b") + F.col("s.n")).alias("stop"), F.col("doc_a").alias("other"))
-    )
+    # a factor names one place in the reference only; for the share every place counts, on both sides
+    links = _candidates(docs, id_col, text_col, min_chars, WIDTH).mapInArrow(lambda it: _verify_parts(it, min_chars), f"doc_a long, doc_b long, in_a {_PART}, in_b {_PART}")
+    spans = links.select(F.col("doc_a").alias("class_id"), F.inline("in_a")).unionByName(links.select(F.col("doc_b").alias("class_id"), F.inline("in_b")))
     linked = links.select(F.col("doc_a").alias("class_id")).unionAll(links.select(F.col("doc_b").alias("class_id"))).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
-    covered = merge_spans(spans.drop("other").distinct(), ["class_id"]).groupBy("class_id").agg(F.sum(F.col("stop") - F.col("start")).alias("covered"), F.count(F.lit(1)).alias("n_spans"))
+    covered = merge_spans(spans.distinct(), ["class_id"]).groupBy("class_id").agg(F.sum(F.col("stop") - F.col("start")).alias("covered"), F.count(F.lit(1)).alias("n_spans"))
     classes = copy_classes(docs, id_col, text_col, min_chars).select(F.col("id"), "class_id", F.lit(True).alias("copied"))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.length(text_col).alias("n_chars")).dropDuplicates(["id"])
     out = (
