@@ -64,6 +64,34 @@ def test_near_copies_are_found_and_aligned(spark):
     assert [r.cut for r in got] == [True]
 
 
+def test_longer_texts_of_a_band_displace_no_near_copy(spark):
+    import random
+
+    r = random.Random(4)
+    full = [f"{r.choice('abcdefgh')}{i}" for i in range(150)]
+    cut = " ".join(full[:140])
+    others = []
+    for i in range(150):  # much longer texts that are less like the cut one than a near copy
+        x = full[:140]
+        for k in r.sample(range(140), 7):
+            x[k] = f"replacement{i}of{k}" * 3
+        others.append(" ".join(x) + ".")
+    sk = Sketcher()
+    assert jaccard(sk.shingles(cut), sk.shingles(" ".join(full))) > 0.8
+    assert all(jaccard(sk.shingles(cut), sk.shingles(x)) < 0.8 for x in others)
+    ts, _ = tables(spark, [(1, [turn(cut)], "s"), (2, [turn(" ".join(full) + ".")], "s"), *((3 + i, [turn(x)], "s") for i, x in enumerate(others))])
+    every = truncation.turns(ts, "sft", "messages", "source_dataset")
+    assert [r.cut for r in truncation.copy_verdicts(every.where("row_id = 1"), every).collect()] == [True]
+
+
+def test_blocks_of_a_band_lose_no_pair(spark):
+    same = " ".join(f"w{i}" for i in range(100))
+    ts, _ = tables(spark, [(i, [turn(f"{same} x{i}")], "s") for i in range(1, 2 * truncation.BLOCK)] + [(1000, [turn(f"{same} and so on it goes.")], "s")])
+    every = truncation.turns(ts, "sft", "messages", "source_dataset")
+    got = truncation.copy_verdicts(every.where("row_id < 1000"), every)
+    assert got.count() == 2 * truncation.BLOCK - 1
+
+
 def test_field_limits(spark):
     rows = [("sft", "s", 500, 0.0)] * 8 + [("sft", "s", 480 + i, 0.0) for i in range(3)] + [("sft", None, 90, 0.0)] * 4 + [("sft", "s", 300, 0.9)] * 9
     got = {tuple(r) for r in truncation.field_limits(spark.createDataFrame(rows, "stage string, source string, chars int, score double")).collect()}

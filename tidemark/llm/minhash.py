@@ -60,10 +60,14 @@ class Sketcher:
 
     def bands(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(indices of texts with a word, band keys [n, BANDS])."""
+        return self.sized_bands(texts)[:2]
+
+    def sized_bands(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As `bands`, with the number of distinct shingles of each of these texts."""
         sets = [self.shingles(t) for t in texts]
         have = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
         if not len(have):
-            return have, np.zeros((0, BANDS), np.int64)
+            return have, np.zeros((0, BANDS), np.int64), np.zeros(0, np.int32)
         flat = np.concatenate([sets[i] for i in have])
         starts = np.r_[0, np.cumsum([len(sets[i]) for i in have])[:-1]]
         keys = np.zeros((len(have), BANDS), np.uint64)
@@ -73,7 +77,7 @@ class Sketcher:
                 k = band * ROWS + row
                 key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(_mix(flat * _A[k] + _B[k]), starts))
             keys[:, band] = key
-        return have, keys.view(np.int64)
+        return have, keys.view(np.int64), np.array([len(sets[i]) for i in have], np.int32)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:

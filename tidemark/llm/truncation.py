@@ -10,9 +10,10 @@
    something follows are whole, the same clipped at a random character are cut.
 4. Field limits. Lengths at which a source's open-ended turns pile up far beyond neighbouring lengths are limits.
 
-Scale. Turns are scored where they are read. Only open-ended turns seek a copy: of each band the longest text is kept by
-a partial aggregate and joined back, so no band is gathered in one task; exact copies meet once. The model is fitted on
-at most ``SAMPLE_ROWS`` rows a table; all else covers all rows.
+Scale. Turns are scored where they are read. Only open-ended turns seek a copy: they meet all longer texts of their bands
+whose number of shingles allows the similarity, and all these pairs are verified. The open-ended turns of a band are dealt
+over blocks of about ``BLOCK``, so no band is gathered in one task; exact copies meet once. The model is fitted on at most
+``SAMPLE_ROWS`` rows a table; all else covers all rows.
 
 Defined results: null, empty and wordless turns are not cut; a turn that repeats the user turn before it is a copy, not
 a cut; repeated rows are each reported.
@@ -39,6 +40,8 @@ from tidemark.session import ensure_checkpoint_dir
 SAMPLE_ROWS = 6000
 #: whole sentences used at most
 SAMPLE_SENTENCES = 50_000
+#: doubtful texts of a band that meet its texts in one block
+BLOCK = 64
 
 _CLOSED = re.compile(r"[.!?…。！？；][\"'”’»)\]*_]*\Z|```\s*\Z|[\U0001F300-\U0001FAFF☀-➿️]\Z|(?:^|\n)\s*(?:-{3,}|\*{3,}|_{3,}|—+)\Z|</\w+>\Z")
 _RESULT = re.compile(r"(?:^|\n)\s*(?:#{1,6}|=|->|=>|\*\*)?\s*[-+]?[\d.,]*\d%?(?:\*\*)?\Z|\\boxed\{[^{}]*\}\$?\Z|(?:^|[ \n(])\[\d+\]\Z")
@@ -254,11 +257,11 @@ def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         best: dict[bytes, int] = {k: i for i, k in enumerate(batch.column(0).to_pylist())}
         pick = list(best.values())
         texts = batch.column(1).take(pa.array(pick, pa.int64())).to_pylist()
-        have, keys = sketch.bands(texts)
+        have, keys, sizes = sketch.sized_bands(texts)
         where = np.array(pick, np.int64)[have] if len(have) else have
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.ravel()), batch.column(0).take(pa.array(np.repeat(where, BANDS))), pa.array(np.repeat([len(texts[i]) for i in have], BANDS).astype(np.int32))],
-            names=["band", "key", "chars"],
+            [pa.array(keys.ravel()), batch.column(0).take(pa.array(np.repeat(where, BANDS))), pa.array(np.repeat([len(texts[i]) for i in have], BANDS).astype(np.int32)), pa.array(np.repeat(sizes, BANDS))],
+            names=["band", "key", "chars", "shingles"],
         )
 
 
@@ -318,10 +321,17 @@ def open_ended(ts: DataFrame, model: Broadcast) -> DataFrame:
 def copy_verdicts(doubtful: DataFrame, ts: DataFrame) -> DataFrame:
     """(key, cut): verdict of the alignment with a longer near copy, for contents (key is their digest) that have one."""
     key = F.unhex(F.md5("content")).alias("key")
-    bands = ts.where("length(content) > 0").select(key, "content").mapInArrow(_band_batches, "band long, key binary, chars int")
-    longest = bands.groupBy("band").agg(F.max(F.struct("chars", "key")).alias("m")).select("band", F.col("m.key").alias("long_key"), F.col("m.chars").alias("long_chars"))
-    mine = doubtful.select(key, "content").mapInArrow(_band_batches, "band long, key binary, chars int")
-    pairs = mine.join(longest, "band").where("long_chars > chars").select("key", "long_key").distinct()
+    shape = "band long, key binary, chars int, shingles int"
+    mine = doubtful.select(key, "content").mapInArrow(_band_batches, shape).distinct()
+    every = ts.where("length(content) > 0").select(key, "content").mapInArrow(_band_batches, shape)
+    # the doubtful texts of a band are dealt over blocks by hash, and each text of the band meets every block
+    blocks = mine.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    held = mine.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks")
+    others = every.join(blocks, "band").select("band", F.col("key").alias("long_key"), F.col("chars").alias("long_chars"), F.col("shingles").alias("long_shingles"), "blocks").distinct()
+    others = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    # sets of shingles whose sizes differ by more cannot be similar enough
+    sizes = F.least("shingles", "long_shingles") >= F.greatest("shingles", "long_shingles") * F.lit(SIMILAR - 1e-9)
+    pairs = held.join(others, ["band", "block"]).where(sizes & (F.col("long_chars") > F.col("chars"))).select("key", "long_key").distinct()
     mine_text = doubtful.select(key, F.col("content").alias("text")).groupBy("key").agg(F.first("text").alias("text"))
     wanted = pairs.select(F.col("long_key")).distinct()
     long_text = ts.where("length(content) > 0").select(F.unhex(F.md5("content")).alias("long_key"), F.col("content").alias("long_text")).join(wanted, "long_key", "left_semi").groupBy("long_key").agg(F.first("long_text").alias("long_text"))
