@@ -64,6 +64,19 @@ def test_near_copies_are_found_and_aligned(spark):
     assert [r.cut for r in got] == [True]
 
 
+def test_end_is_found_behind_a_paragraph_more(spark):
+    words = [f"{'abcdefgh'[i % 8]}{i}" for i in range(1000)]
+    more, less = words[:500] + [f"new{i}" for i in range(60)] + words[500:], words[:500] + words[560:]
+    a = words[:950]
+    assert truncation.align_end(a, more) == 1009 and truncation.align_end(a, less) == 889
+    assert truncation.align_end(a, [f"z{i}" for i in range(1000)]) == -1
+    closing = [f"c{i}" for i in range(60)]  # the same closing words twice
+    assert truncation.align_end(words[:300] + closing, words[:100] + closing + words[100:300] + closing + words[300:400]) == 419
+    ts, _ = tables(spark, [(1, [turn(" ".join(a))], "s"), (2, [turn(" ".join(more) + ".")], "s")])
+    every = truncation.turns(ts, "sft", "messages", "source_dataset")
+    assert [r.cut for r in truncation.copy_verdicts(every.where("row_id = 1"), every).collect()] == [True]
+
+
 def test_longer_texts_of_a_band_displace_no_near_copy(spark):
     import random
 

@@ -42,6 +42,8 @@ SAMPLE_ROWS = 6000
 SAMPLE_SENTENCES = 50_000
 #: doubtful texts of a band that meet its texts in one block
 BLOCK = 64
+#: pairs of words compared at most to choose between places at which closing words stand
+COMPARED = 20_000_000
 
 _CLOSED = re.compile(r"[.!?…。！？；][\"'”’»)\]*_]*\Z|```\s*\Z|[\U0001F300-\U0001FAFF☀-➿️]\Z|(?:^|\n)\s*(?:-{3,}|\*{3,}|_{3,}|—+)\Z|</\w+>\Z")
 _RESULT = re.compile(r"(?:^|\n)\s*(?:#{1,6}|=|->|=>|\*\*)?\s*[-+]?[\d.,]*\d%?(?:\*\*)?\Z|\\boxed\{[^{}]*\}\$?\Z|(?:^|[ \n(])\[\d+\]\Z")
@@ -265,23 +267,39 @@ def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def align_end(a: list[str], b: list[str], reach: int = 40, slack: int = 24) -> int:
-    """Place in b at which the last word of a comes to stand, by semi-global alignment of the last words of a."""
-    t = a[-reach:]
-    start = max(0, len(a) - len(t) - slack)
-    window = b[start : len(a) + slack]
-    if not window:
-        return len(b)
-    w = np.array(window, object)
-    cost = np.zeros(len(window) + 1)
+def _costs(t: list[str], w: np.ndarray) -> np.ndarray:
+    """Least edit cost of t against a stretch of w that ends at each word of w."""
+    cost = np.zeros(len(w) + 1)
     for i, x in enumerate(t):
-        same = np.array([1.0 if y != x and not (i == len(t) - 1 and y.startswith(x)) else 0.0 for y in window]) if i == len(t) - 1 else (w != x).astype(float)
+        same = np.array([1.0 if y != x and not y.startswith(x) else 0.0 for y in w]) if i == len(t) - 1 else (w != x).astype(float)
         step = np.minimum(cost[:-1] + same, cost[1:] + 1)
         cost = np.r_[cost[0] + 1, step]
         run = np.minimum.accumulate(cost - np.arange(len(cost)))  # gaps in a
         cost = np.minimum(cost, run + np.arange(len(cost)))
-    end = int(cost[1:].argmin())
-    return start + end if cost[end + 1] <= 0.25 * len(t) else -1
+    return cost[1:]
+
+
+def align_end(a: list[str], b: list[str], reach: int = 40) -> int:
+    """Place in b at which the last word of a comes to stand, by semi-global alignment of the last words of a with all of b.
+
+    -1 if more than a quarter of them differ. Where they stand in b more than once, more words of a are taken until one
+    place fits best; if that leaves a choice, or would compare over ``COMPARED`` pairs of words, the place nearest to the
+    length of a is taken.
+    """
+    if not a or not b:
+        return -1
+    w = np.array(b, object)
+    cost = _costs(a[-reach:], w)
+    if cost.min() > 0.25 * len(a[-reach:]):
+        return -1
+    at = np.flatnonzero(cost == cost.min())
+    while True:
+        heads = at[np.r_[True, np.diff(at) > 1]]  # neighbouring places are one
+        if len(heads) == 1 or reach >= len(a) or 2 * reach * len(b) > COMPARED:
+            return int(heads[np.abs(heads - (len(a) - 1)).argmin()])
+        reach *= 2
+        cost = _costs(a[-reach:], w)
+        at = at[cost[at] == cost[at].min()]
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
