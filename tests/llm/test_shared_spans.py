@@ -82,12 +82,41 @@ def test_share_counts_every_place_on_both_sides(spark):
 
 def test_hot_stretch_loses_no_pair(spark):
     hot = filler("hot", 330)
-    docs = [(i, filler(i, 60) + hot + filler(-i, 40)) for i in range(1, 3 * shared_spans.BLOCK // 2)]
+    docs = [(i, filler(i, 60) + hot + filler(-i, 40)) for i in range(1, 100)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     n = len(docs)
     assert shared_spans.shared_pairs(df).count() == n * (n - 1) // 2
 
 
+def test_many_blocks_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(shared_spans, "BLOCK_CHARS", 3000)
+    monkeypatch.setattr(shared_spans, "QUERY_CHARS", 4000)
+    monkeypatch.setattr(shared_spans, "ROUTED", 10)
+    hot = filler("hot", 330)
+    docs = corpus() + [(i, filler(i, 60) + hot + filler(-i, 40)) for i in range(20, 50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = [(r.doc_a, r.doc_b) for r in shared_spans.shared_links(df).collect()]
+    assert len(got) == len(set(got))
+    assert {(r.doc_a, r.doc_b) for r in shared_spans.shared_pairs(df).collect()} == brute(docs, 320)
+
+
+def test_greedy_factors():
+    import numpy as np
+
+    from tidemark.llm.anchors import code_points
+    from tidemark.llm.relative_lz import ReferenceBlock
+
+    a, b, c = filler("a", 500), filler("b", 300), filler("c", 200)
+    block = ReferenceBlock(np.array([1, 2, 3, 3]), [a[:400], a + b, "", c + b[:90]], 100)
+    codes = code_points("!" + a + "#" + c + "?" + b[:95])
+    got = block.factors(codes, 9)
+    assert [(p, n) for p, _, n in got] == [(1, 500), (502, 200)]  # the longest source is taken; 95 characters are literal
+    assert got[0][1] == 400 and block.texts_with(codes, got[0], 9).tolist() == [1, 2]
+    assert block.factors(codes, 3)[0][2] == 500 and [n for _, _, n in block.factors(codes, 3)] == [500]
+    assert [(p, n) for p, _, n in block.factors(code_points(a), 2)] == [(0, 400)]
+    assert ReferenceBlock(np.zeros(0), [], 100).factors(codes, 1) == []
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert shared_spans.shared_pairs(df).count() == 0 and shared_spans.shared_share(df).count() == 0

@@ -129,4 +129,18 @@ SELECT nullif(trim(source), '') AS source, count(*) AS documents, CAST(sum(token
 WITH anchors AS (SELECT doc_id, text, unnest(range(1, length(text) - 318)) AS i FROM documents WHERE length(text) >= 320),
 keys AS (SELECT doc_id, hash(substr(text, i, 320)) AS h FROM anchors)
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM keys a JOIN keys b ON a.h = b.h AND a.doc_id < b.doc_id""",
+        "p9_shared_share": r"""
+WITH classes AS (SELECT text, min(doc_id) AS class_id, count(*) AS c FROM documents WHERE length(text) >= 320 GROUP BY text),
+w AS (SELECT class_id, i, hash(substr(text, i, 320)) AS h FROM (SELECT class_id, text, unnest(range(1, length(text) - 318)) AS i FROM classes) x),
+held AS (SELECT h FROM w GROUP BY h HAVING min(class_id) < max(class_id)),
+steps AS (SELECT class_id, i, i - lag(i) OVER (PARTITION BY class_id ORDER BY i) AS d FROM w JOIN held USING (h)),
+runs AS (SELECT class_id, i, sum(CASE WHEN d IS NULL OR d > 320 THEN 1 ELSE 0 END) OVER (PARTITION BY class_id ORDER BY i) AS run FROM steps),
+spans AS (SELECT class_id, run, max(i) - min(i) + 320 AS n FROM runs GROUP BY 1, 2),
+covered AS (SELECT class_id, CAST(sum(n) AS BIGINT) AS chars, count(*) AS spans FROM spans GROUP BY 1),
+whole AS (
+  SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, length(d.text) AS n_chars, CASE WHEN c.c > 1 THEN 1 ELSE coalesce(v.spans, 0) END AS spans,
+    CASE WHEN d.text IS NULL THEN NULL WHEN c.c > 1 THEN length(d.text) ELSE coalesce(v.chars, 0) END AS shared_chars
+  FROM documents d LEFT JOIN classes c ON c.text = d.text LEFT JOIN covered v ON v.class_id = c.class_id
+)
+SELECT doc_id, class_id, n_chars, spans, shared_chars, CASE WHEN n_chars > 0 THEN shared_chars / n_chars END AS shared_share FROM whole""",
     }
