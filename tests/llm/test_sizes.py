@@ -24,7 +24,19 @@ def test_budget_is_near_the_exact_count(spark, data, vocab):
     assert len(both) > 50
     assert sum(r.tokens for r in both) == pytest.approx(sum(r.true for r in both), rel=0.01)
     assert sum(abs(r.tokens - r.true) for r in both) < 0.03 * sum(r.true for r in both)
-    assert sum(r.tokens_low <= r.true <= r.tokens_high for r in both) > 0.85 * len(both)
+    assert sum(r.tokens_low <= r.true <= r.tokens_high for r in both) >= 0.93 * len(both)
+
+
+def test_bounds_hold_out_of_sample(spark, data, vocab, monkeypatch):
+    monkeypatch.setattr(token_budget, "FIT_ROWS", 1000)
+    monkeypatch.setattr(token_budget, "HOLDOUT_ROWS", 500)
+    sft = spark.read.parquet(f"{data}/../sf0.1/sft_rows.parquet")
+    keys = ["source_dataset", "language", "domain"]
+    both = token_budget.token_budget(sft, vocab).join(token_budget.exact_tokens(sft, vocab).withColumnRenamed("tokens", "true").drop("rows"), keys).collect()
+    assert len(both) > 100 and sum(r.tokens_low <= r.true <= r.tokens_high for r in both) >= 0.93 * len(both)
+    assert sum(r.tokens for r in both) == pytest.approx(sum(r.true for r in both), rel=0.01)
+    wide = sorted((r.tokens_high - r.tokens_low) / r.tokens for r in both if r.tokens > 2000)
+    assert wide[len(wide) // 2] < 0.25
 
 
 def test_budget_of_odd_rows(spark, vocab):

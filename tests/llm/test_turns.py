@@ -54,14 +54,18 @@ def test_near_copies_are_found_and_aligned(spark):
     cut = full[: int(len(full) * 0.93)]
     sk = Sketcher()
     assert jaccard(sk.shingles(full), sk.shingles(cut)) > 0.8
-    _, keys = sk.bands([full, cut, "something else entirely different from it all"])
-    assert len(set(keys[0].tolist()) & set(keys[1].tolist())) > 0 and not set(keys[0].tolist()) & set(keys[2].tolist()) and keys.shape[1] == BANDS
+    which, span, _, keys = sk.head_bands([full, cut, "something else entirely different from it all here", "too short"])
+    of = [set(keys[which == i].ravel().tolist()) for i in range(4)]
+    assert of[0] & of[1] and not of[0] & of[2] and of[2] and not of[3] and keys.shape[1] == BANDS
+    assert span[which == 0].tolist() == [8, 16, 32, 64, 128, 256, 0]
+    top, _, _, few = sk.head_bands([cut], top_only=True)
+    assert len(top) == 2 and {x for x in few.ravel().tolist()} <= of[1]
     a, b = cut.lower().split(), full.lower().split()
     assert truncation.align_end(a, b) == len(a) - 1
     ts, _ = tables(spark, [(1, [turn(full)], "s"), (2, [turn(cut)], "s")])
     every = truncation.turns(ts, "sft", "messages", "source_dataset")
     got = truncation.copy_verdicts(every.where("row_id = 2"), every).collect()
-    assert [r.cut for r in got] == [True]
+    assert [r.cut for r in got] == [1]
 
 
 def test_end_is_found_behind_a_paragraph_more(spark):
@@ -74,7 +78,7 @@ def test_end_is_found_behind_a_paragraph_more(spark):
     assert truncation.align_end(words[:300] + closing, words[:100] + closing + words[100:300] + closing + words[300:400]) == 419
     ts, _ = tables(spark, [(1, [turn(" ".join(a))], "s"), (2, [turn(" ".join(more) + ".")], "s")])
     every = truncation.turns(ts, "sft", "messages", "source_dataset")
-    assert [r.cut for r in truncation.copy_verdicts(every.where("row_id = 1"), every).collect()] == [True]
+    assert [r.cut for r in truncation.copy_verdicts(every.where("row_id = 1"), every).collect()] == [1]
 
 
 def test_longer_texts_of_a_band_displace_no_near_copy(spark):
@@ -94,7 +98,7 @@ def test_longer_texts_of_a_band_displace_no_near_copy(spark):
     assert all(jaccard(sk.shingles(cut), sk.shingles(x)) < 0.8 for x in others)
     ts, _ = tables(spark, [(1, [turn(cut)], "s"), (2, [turn(" ".join(full) + ".")], "s"), *((3 + i, [turn(x)], "s") for i, x in enumerate(others))])
     every = truncation.turns(ts, "sft", "messages", "source_dataset")
-    assert [r.cut for r in truncation.copy_verdicts(every.where("row_id = 1"), every).collect()] == [True]
+    assert [r.cut for r in truncation.copy_verdicts(every.where("row_id = 1"), every).collect()] == [1]
 
 
 def test_blocks_of_a_band_lose_no_pair(spark):
@@ -105,6 +109,48 @@ def test_blocks_of_a_band_lose_no_pair(spark):
     assert got.count() == 2 * truncation.BLOCK - 1
 
 
+def test_copies_cut_anywhere_are_found_by_alignment(spark):
+    import random
+
+    r = random.Random(12)
+    rows, want, i = [], set(), 0
+    for share in (0.3, 0.5, 0.7, 0.9):
+        for _ in range(40):
+            i += 1
+            w = ["".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(2, 9))) for _ in range(r.randint(60, 200))]
+            full = " ".join(x + ("." if k % 11 == 10 else "") for k, x in enumerate(w)) + "."
+            copy = full.split(" ")
+            for k in r.sample(range(len(copy)), max(1, len(copy) // 60)):  # a near copy
+                copy[k] = "changed"
+            text = " ".join(copy)
+            end = int(len(text) * share)
+            while not (text[end - 1].isalnum() and text[end].isalnum()):  # inside a word
+                end += 1
+            rows += [(i, [turn(full)], "s"), (1000 + i, [turn(text[:end])], "s")]
+            want.add(1000 + i)
+    s, d = tables(spark, rows)
+    found = {x.row_id for x in truncation.truncated_turns(s, d).where("evidence = 'alignment'").collect()}
+    assert len(found & want) >= 0.9 * len(want) and not found - want
+
+
+def test_sample_is_cut_by_hash(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "row_id")
+    n = truncation.hash_sample(df, 1000).count()
+    assert 850 < n < 1150 and truncation.hash_sample(df, 50_000).count() == 20_000
+    same = spark.range(20_000).selectExpr("5L AS row_id")
+    assert truncation.hash_sample(same, 1000).count() <= 2000
+    assert truncation.hash_sample(df.where("row_id < 0"), 10).count() == 0
+
+
+def test_set_of_sought_bands(spark):
+    keys = [5, -7, 2**62, -(2**63), 63, 64]
+    bits = truncation.sought_bands(spark.createDataFrame([(k,) for k in keys], "band long")).value
+    import numpy as np
+
+    at = np.array(keys, np.int64).view(np.uint64) % np.uint64(truncation.SOUGHT_BITS)
+    assert all((int(bits[int(p) >> 6]) >> (int(p) & 63)) & 1 for p in at) and sum(bin(int(x)).count("1") for x in bits) == len(set(at.tolist()))
+
+
 def test_field_limits(spark):
     rows = [("sft", "s", 500, 0.0)] * 8 + [("sft", "s", 480 + i, 0.0) for i in range(3)] + [("sft", None, 90, 0.0)] * 4 + [("sft", "s", 300, 0.9)] * 9
     got = {tuple(r) for r in truncation.field_limits(spark.createDataFrame(rows, "stage string, source string, chars int, score double")).collect()}

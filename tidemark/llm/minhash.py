@@ -11,6 +11,8 @@ import xxhash
 SHINGLE, SIMILAR = 5, 0.8
 #: with 20 bands of 5 rows a pair of similarity 0.8 is met with probability 0.9996
 BANDS, ROWS = 20, 5
+#: words of the shortest head of a text that is sketched
+HEAD = 8
 
 _WORD = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
 
@@ -45,39 +47,80 @@ class Sketcher:
         w = words(text)
         if not w:
             return np.zeros(0, np.uint64)
-        if len(self.known) > 500_000:
-            self.known = {}
-        known = self.known
-        for x in w:
-            if x not in known:
-                known[x] = xxhash.xxh64_intdigest(x)
-        h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
+        h = self.hashes(w)
         k = min(SHINGLE, len(h))
         out = np.zeros(len(h) - k + 1, np.uint64)
         for i in range(k):
             out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
         return np.unique(out)
 
-    def bands(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(indices of texts with a word, band keys [n, BANDS])."""
-        return self.sized_bands(texts)[:2]
-
-    def sized_bands(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """As `bands`, with the number of distinct shingles of each of these texts."""
-        sets = [self.shingles(t) for t in texts]
-        have = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
-        if not len(have):
-            return have, np.zeros((0, BANDS), np.int64), np.zeros(0, np.int32)
-        flat = np.concatenate([sets[i] for i in have])
-        starts = np.r_[0, np.cumsum([len(sets[i]) for i in have])[:-1]]
-        keys = np.zeros((len(have), BANDS), np.uint64)
+    def hashes(self, w: list[str]) -> np.ndarray:
+        if len(self.known) > 500_000:
+            self.known = {}
+        known = self.known
+        for x in w:
+            if x not in known:
+                known[x] = xxhash.xxh64_intdigest(x)
+        return np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
+
+    def head_bands(self, texts: list[str], top_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Band keys of the heads of texts and of the whole texts: (text index, words of the head, head's key, band keys [n, BANDS]).
+
+        Heads have HEAD, 2 HEAD, 4 HEAD ... words, as far as the text goes; a text under HEAD words has none. The head's
+        key is a hash of the first three heads' worth of words. top_only: only the longest head and the whole text.
+
+        A text cut anywhere behind its first HEAD words has the head of half its length or more in common with its
+        original, wherever it was cut; as minima of a longer head include those of a shorter one, all heads cost one pass.
+        """
+        rows = [w for w in (self.hashes(words(t)) for t in texts)]
+        have = [i for i, h in enumerate(rows) if len(h) >= HEAD]
+        if not have:
+            z = np.zeros(0, np.int64)
+            return z, z, z, np.zeros((0, BANDS), np.int64)
+        h = np.concatenate([rows[i] for i in have])
+        sizes = np.array([len(rows[i]) for i in have], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        grams = np.zeros(len(h) - SHINGLE + 1, np.uint64)
+        for i in range(SHINGLE):
+            grams = _mix(grams * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - SHINGLE + 1 + i])
+        levels = np.floor(np.log2(sizes / HEAD)).astype(np.int64) + 1
+        widest = int(levels.max()) + 1
+        # stretch k of a text: the grams that head k has more than head k - 1; the last is what the whole text has more
+        ends = np.minimum(HEAD * 2 ** np.arange(widest)[None, :], sizes[:, None])
+        ends[np.arange(len(have)), levels] = sizes
+        ends -= SHINGLE - 1
+        starts = np.c_[np.zeros(len(have), np.int64), ends[:, :-1]]
+        live = (np.arange(widest)[None, :] <= levels[:, None]) & (ends > starts)
+        flat = np.empty(2 * int(live.sum()), np.int64)
+        flat[0::2] = (begins[:, None] + starts)[live]
+        flat[1::2] = (begins[:, None] + ends)[live]
+        kept = live.copy()
+        if top_only:
+            kept &= np.arange(widest)[None, :] >= levels[:, None] - 1
+        keys = np.zeros((int(kept.sum()), BANDS), np.uint64)
+        which, level = np.nonzero(kept)
+        whole = level == levels[which]
+        salt = np.where(whole, 63, level).astype(np.uint64)
+        tail = np.append(flat, 0)[:-1]
+        closed = np.append(grams, np.uint64(0))  # so that a stretch may end with the last gram
         for band in range(BANDS):
-            key = np.full(len(have), np.uint64(band + 1))
+            key = salt + np.uint64(64 * (band + 1))
             for row in range(ROWS):
                 k = band * ROWS + row
-                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(_mix(flat * _A[k] + _B[k]), starts))
+                least = np.full(live.shape, np.uint64(0xFFFFFFFFFFFFFFFF))
+                least[live] = np.minimum.reduceat(_mix(closed * _A[k] + _B[k]), tail)[0::2]
+                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.accumulate(least, axis=1)[kept])
             keys[:, band] = key
-        return have, keys.view(np.int64), np.array([len(sets[i]) for i in have], np.int32)
+        span = np.where(whole, sizes[which], HEAD * 2**level)
+        run = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(_mix(h + np.arange(len(h), dtype=np.uint64) - np.repeat(begins, sizes).astype(np.uint64)), out=run[1:])
+        head = run[begins[which] + np.minimum(3 * span, sizes[which])] - run[begins[which]]
+        return np.array(have, np.int64)[which], np.where(whole, 0, span), head.view(np.int64), keys.view(np.int64)
+
+
+def containment(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of the shingles of a that b holds too."""
+    return len(np.intersect1d(a, b, assume_unique=True)) / max(1, len(a))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:

@@ -6,7 +6,8 @@ Each answer is set against the nearest user turn before it and gets at most one
 - ``copy``: compressed with the user turn as a zstandard dictionary next to nothing is left of it;
 - ``refusal``: by a dictionary of refusing and courteous phrases in six languages every sentence refuses or is courtesy;
 - ``truncated``: by the terminal-context models of `truncation`;
-- ``language``: its language, by the model of `language`, is neither used in the user turn nor named there.
+- ``language``: its language, by the model of `language`, is neither used in the user turn nor named there; where the
+  lexicons tell the same language of both sides beyond doubt the model is not asked.
 
 Scale: one pass over the turns without a shuffle for all but truncation, whose verdicts are joined by turn.
 
@@ -25,7 +26,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.language import SPELLINGS, label, language_model, sentence_languages
+from tidemark.llm.language import LEXICON, SPELLINGS, label, language_model, sentence_languages
 from tidemark.llm.truncation import all_turns, truncated_turns
 
 _THINK = re.compile(r"<think>.*?</think>", re.S)
@@ -97,8 +98,6 @@ _SHORT_WORDS, _SHORT_HAN = 8, 14
 def refuses(text: str) -> bool:
     """Whether a text only declines: some sentence refuses and no other says anything."""
     sentences = [x.strip() for x in _SPLIT.split(text) if x and any(c.isalnum() for c in x)]
-    if not sentences or len(sentences) > 8:
-        return False
     refused = 0
     for s in sentences:
         if re.search(r"[\"“„«「].+[\"”“»」]", s):  # quoting a refusal is no refusal
@@ -119,10 +118,14 @@ def folded(text: str) -> bytes:
     return _PLAIN.sub(" ", text.lower()).strip().encode()
 
 
+#: an answer of this many bytes that only repeats a part of a longer user turn is a copy too; a shorter one may quote
+PART = 160
+
+
 def copies(user: str, answer: str) -> bool:
     """Whether an answer only repeats the user turn, by what zstandard cannot take from it as a dictionary."""
     a, u = folded(answer), folded(user)
-    if not a or not u or not 0.6 * len(u) <= len(a) <= 1.25 * len(u) + 24:
+    if not a or not u or not min(0.6 * len(u), PART) <= len(a) <= 1.25 * len(u) + 24:
         return False
     if a == u:
         return True
@@ -142,6 +145,33 @@ def languages_asked(text: str) -> set[str]:
     return {code for code, rx in _NAMED.items() if rx.search(text)}
 
 
+_ONLY: dict[str, str] = {}
+for _lang, _words in LEXICON.items():
+    for _w in _words.split():
+        _ONLY[_w] = "" if _w in _ONLY else _lang
+_ONLY = {w: g for w, g in _ONLY.items() if g}
+_LETTERS = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+")
+#: words that only one language has, needed to tell it, and the share of them it must have
+CLEAR, CLEAR_SHARE = 4, 0.85
+
+
+def clear_language(text: str) -> str | None:
+    """The language of a text that its words or script leave no doubt of, else None."""
+    units = _LETTERS.findall(text.lower())
+    han = sum(len(w) == 1 and "㐀" <= w <= "鿿" for w in units)
+    if han:
+        return "zh" if han >= 8 and han > CLEAR_SHARE * len(units) else None
+    votes: dict[str, int] = {}
+    for w in units:
+        g = _ONLY.get(w)
+        if g:
+            votes[g] = votes.get(g, 0) + 1
+    if not votes:
+        return None
+    best = max(votes, key=lambda g: (votes[g], g))
+    return best if votes[best] >= CLEAR and votes[best] >= CLEAR_SHARE * sum(votes.values()) else None
+
+
 #: answers labelled together; bounds the memory of a task
 CHUNK = 1000
 
@@ -153,6 +183,7 @@ def _defects(batches: Iterator[pa.RecordBatch], model: Broadcast, keep: int) ->
         out: list[str | None] = [None] * len(contents)
         foreign = [False] * len(contents)
         rest = []
+        user_langs: dict[str, str | None] = {}
         for i, (c, u) in enumerate(zip(contents, users)):
             body = _THINK.sub("", c) if c and "<think>" in c else c or ""
             if not any(x.isalnum() for x in body):
@@ -161,7 +192,7 @@ def _defects(batches: Iterator[pa.RecordBatch], model: Broadcast, keep: int) ->
                 out[i] = "copy"
             elif refuses(body):
                 out[i] = "refusal"
-            elif u:
+            elif u and not ((lang := clear_language(body)) and (user_langs[u] if u in user_langs else user_langs.setdefault(u, clear_language(u))) == lang):
                 rest.append((i, body, u))
         texts = list(dict.fromkeys([b for _, b, _ in rest] + [u for _, _, u in rest]))
         found = dict(zip(texts, label(texts, crf)))

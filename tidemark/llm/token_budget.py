@@ -5,8 +5,8 @@ punctuation. It is fitted by ridge regression on rows tokenized exactly, and its
 predicted tokens on other tokenized rows (the holdout). As the function is linear, its sum over a group of rows is the
 function of the group's feature sums: applying it everywhere is one JVM-side aggregation without any Python.
 
-Scale. One scan, one partial aggregate, a shuffle of group sums. The fit uses at most ``FIT_ROWS`` rows and the holdout at
-most ``HOLDOUT_ROWS``, those least by hash of their key; the rows that are counted are all.
+Scale. One scan, one partial aggregate, a shuffle of group sums. The fit uses about ``FIT_ROWS`` rows and the holdout about
+``HOLDOUT_ROWS``, taken at the scan by a cut of the hash of their key; the rows that are counted are all.
 
 Defined results: null and empty contents cost nothing; rows without a language count under ``und``, domains are folded
 (case, blanks), a missing domain or source is its own group; negative predictions count as 0 for a group.
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.language import declared
+from tidemark.llm.truncation import hash_sample
 from tidemark.llm.vocab_tokens import tokenizer
 
 FIT_ROWS, HOLDOUT_ROWS = 4000, 2000
@@ -75,14 +76,26 @@ def count_tokens(df: DataFrame, keys: list[str], text: str, vocab: DataFrame) ->
     return keep.mapInArrow(lambda it: _count(it, tok, n), f"{ddl}, tokens long")
 
 
+def _per_token(error: np.ndarray, guess: np.ndarray) -> float:
+    """Variance of rows' errors for each token."""
+    if not len(error):
+        return 0.0
+    return float(max((error**2 / np.maximum(guess, 1.0)).mean(), (error**2).sum() / max(1.0, guess.sum())))
+
+
 class TokenModel:
-    """Coefficients and bias factor of each language, of all together under '*', with the errors seen on the holdout."""
+    """Coefficients and bias factor of each language, of all together under '*', with the errors seen on the holdout.
+
+    The error of a slice has three parts: that of the bias factor (``spread``, of the tokens), what slices have in common
+    that the function does not see (``tau``, of the tokens) and chance of the rows (variance ``phi`` for each token).
+    """
 
-    def __init__(self, rows: list[tuple[str, np.ndarray, int, bool]]) -> None:
+    def __init__(self, rows: list[tuple[str, np.ndarray, int, bool, tuple]]) -> None:
         self.coefficients: dict[str, np.ndarray] = {}
         self.bias: dict[str, float] = {}
         self.spread: dict[str, float] = {}
-        self.row_error: dict[str, float] = {}
+        self.tau: dict[str, float] = {}
+        self.phi: dict[str, float] = {}
         fit = [r for r in rows if not r[3]]
         hold = [r for r in rows if r[3]]
         for lang in ["*", *sorted({r[0] for r in rows})]:
@@ -99,22 +112,34 @@ class TokenModel:
             truth = sum(r[2] for r in test)
             guess = np.array([max(0.0, float(r[1] @ beta)) for r in test])
             factor = truth / guess.sum() if len(test) and guess.sum() > 0 else 1.0
-            error = np.array([r[2] for r in test]) - factor * guess
+            guess = factor * guess
+            error = np.array([r[2] for r in test]) - guess
             self.coefficients[lang], self.bias[lang] = beta, float(factor)
-            # relative error of the bias, and absolute error of a row; a group's error has a part of either
             self.spread[lang] = float(np.sqrt((error**2).sum()) / max(1, truth)) if len(test) else 0.0
-            self.row_error[lang] = float(np.sqrt((error**2).mean())) if len(test) else 0.0
+            self.phi[lang] = _per_token(error, guess)
+        # a language's few holdout rows can miss what is rare: its chance is at least that of all rows under their own functions
+        hold = hold or fit
+        guess = np.array([max(0.0, float(r[1] @ self.coefficients[self.of(r[0])])) * self.bias[self.of(r[0])] for r in hold])
+        error = np.array([r[2] for r in hold]) - guess
+        pooled = _per_token(error, guess)
+        groups: dict[tuple, list[int]] = {}
+        for i, r in enumerate(hold):
+            groups.setdefault((r[0], *r[4]), []).append(i)
+        part = [(len(g), error[g].sum(), max(1.0, guess[g].sum())) for g in groups.values() if len(g) > 1]
+        between = sum(n * (e * e - pooled * t) / (t * t) for n, e, t in part) / max(1, sum(n for n, _, _ in part))
+        self.tau = dict.fromkeys(self.coefficients, float(np.sqrt(max(0.0, between))))
+        self.phi = {k: max(v, pooled) for k, v in self.phi.items()}
 
     def of(self, lang: str) -> str:
         return lang if lang in self.coefficients else "*"
 
 
 def fit_model(sft: DataFrame, vocab: DataFrame) -> TokenModel:
-    base = slices(sft).withColumn("h", F.xxhash64("row_id")).orderBy("h", "row_id").limit(FIT_ROWS + HOLDOUT_ROWS)
-    rows = count_tokens(base.select("row_id", "h", "language", *[v.alias(k) for k, v in features(F.col("text")).items()], "text"), ["row_id", "h", "language", *FEATURES], "text", vocab).collect()
-    rows = sorted(rows, key=lambda r: (r.h, r.row_id))
+    base = slices(hash_sample(sft, FIT_ROWS + HOLDOUT_ROWS)).withColumn("h", F.xxhash64("row_id", F.lit(1)))
+    rows = count_tokens(base.select("row_id", "h", "source_dataset", "language", "domain", *[v.alias(k) for k, v in features(F.col("text")).items()], "text"), ["row_id", "h", "source_dataset", "language", "domain", *FEATURES], "text", vocab).collect()
+    rows = sorted(rows, key=lambda r: (r.h, r.row_id is None, r.row_id))
     every = max(2, round((FIT_ROWS + HOLDOUT_ROWS) / HOLDOUT_ROWS))
-    return TokenModel([(r.language, np.array([r[f] for f in FEATURES]), r.tokens, i % every == 0) for i, r in enumerate(rows)])
+    return TokenModel([(r.language, np.array([r[f] for f in FEATURES]), r.tokens, i % every == 0, (r.source_dataset, r.domain)) for i, r in enumerate(rows)])
 
 
 def token_budget(sft: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -136,7 +161,7 @@ def token_budget(sft: DataFrame, vocab: DataFrame) -> DataFrame:
 
     linear = sum(F.col(f) * pick({k: b[i] for k, b in model.coefficients.items()}) for i, f in enumerate(FEATURES))
     tokens = F.greatest(F.lit(0.0), linear * pick(model.bias))
-    margin = 1.96 * F.sqrt(F.pow(tokens * pick(model.spread), 2) + F.col("rows") * F.pow(pick(model.row_error), 2))
+    margin = 1.96 * F.sqrt(F.pow(tokens * pick(model.spread), 2) + F.pow(tokens * pick(model.tau), 2) + tokens * pick(model.phi))
     return sums.select(
         "source_dataset", "language", "domain", "rows",
         F.round(tokens).cast("long").alias("tokens"),

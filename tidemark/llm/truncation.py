@@ -1,22 +1,26 @@
 """Text cut off by field limits (problem 3): aligned near copies, open structures and closing-word terminality.
 
-1. Forms. A turn that ends with an end mark, a closed block or a complete result line is complete; one that leaves a
-   code block, bracket, formula, link or table row open is cut.
-2. Near copies. Turns of other form are looked up among all texts by min-hash banding of five-word shingles; pairs of
-   similarity 0.8 or more are aligned, and the copy whose alignment ends inside a word or sentence of the other is cut,
-   the one whose end is the end of a sentence there is complete.
+1. Forms. A turn that ends with an end mark or a closed block is complete; one that leaves a code block, bracket, formula,
+   link or table row open is cut.
+2. Near copies. Turns of other form are looked up among all texts by min-hash banding of five-word shingles, of whole texts
+   and of their heads of 8, 16, 32 ... words, so that a copy is met wherever it was cut. Pairs in which the longer text
+   holds 0.8 of the shorter one's shingles are aligned; the copy whose alignment ends inside a word or sentence of the
+   other is cut, the one whose end is the end of a sentence there is complete.
 3. Terminality. What has no such copy is scored by a logistic model of how sentences close: their last words, their first
    words with their length, and words never seen whole. It learns from the texts themselves: lines and sentences that
-   something follows are whole, the same clipped at a random character are cut.
-4. Field limits. Lengths at which a source's open-ended turns pile up far beyond neighbouring lengths are limits.
+   something follows, and lines of closed code blocks, are whole, the same clipped at a random character are cut.
+4. Field limits. Lengths at which a source's open-ended turns pile up far beyond neighbouring lengths are limits; there a
+   turn is cut if it is more likely cut than not.
 
-Scale. Turns are scored where they are read. Only open-ended turns seek a copy: they meet all longer texts of their bands
-whose number of shingles allows the similarity, and all these pairs are verified. The open-ended turns of a band are dealt
-over blocks of about ``BLOCK``, so no band is gathered in one task; exact copies meet once. The model is fitted on at most
-``SAMPLE_ROWS`` rows a table; all else covers all rows.
+Scale. Turns are scored where they are read. Only open-ended turns seek a copy: a bit set of fixed size that holds their
+band keys lets the other texts leave out, before any exchange, the bands that none of them seeks. Open-ended turns meet
+all longer texts of their bands, of those with the same words up to three times the head one for all, and all these pairs
+are verified. The open-ended turns of a band are dealt over blocks of about ``BLOCK``, so no band is gathered in one task;
+exact copies meet once. The model is fitted on about ``SAMPLE_ROWS`` rows a table, taken by hash at the scan; all else
+covers all rows.
 
 Defined results: null, empty and wordless turns are not cut; a turn that repeats the user turn before it is a copy, not
-a cut; repeated rows are each reported.
+a cut; repeated rows are each reported; a turn under 8 words is judged by form and terminality only.
 """
 
 from __future__ import annotations
@@ -33,26 +37,30 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.minhash import BANDS, SIMILAR, Sketcher, jaccard, words
+from tidemark.llm.minhash import BANDS, SIMILAR, Sketcher, containment, words
 from tidemark.session import ensure_checkpoint_dir
 
-#: rows of each table from which the terminality model is fitted, those least by hash of row_id
+#: rows of each table from which the terminality model is fitted, about; those below a cut of the hash of row_id
 SAMPLE_ROWS = 6000
 #: whole sentences used at most
 SAMPLE_SENTENCES = 50_000
 #: doubtful texts of a band that meet its texts in one block
 BLOCK = 64
+#: bits of the set of band keys that are sought; its size does not grow with the data
+SOUGHT_BITS = 1 << 25
 #: pairs of words compared at most to choose between places at which closing words stand
 COMPARED = 20_000_000
 
 _CLOSED = re.compile(r"[.!?…。！？；][\"'”’»)\]*_]*\Z|```\s*\Z|[\U0001F300-\U0001FAFF☀-➿️]\Z|(?:^|\n)\s*(?:-{3,}|\*{3,}|_{3,}|—+)\Z|</\w+>\Z")
-_RESULT = re.compile(r"(?:^|\n)\s*(?:#{1,6}|=|->|=>|\*\*)?\s*[-+]?[\d.,]*\d%?(?:\*\*)?\Z|\\boxed\{[^{}]*\}\$?\Z|(?:^|[ \n(])\[\d+\]\Z")
+_RESULT = re.compile(r"(?:^|\n)\s*(?:#{1,6}|=|->|=>|\*\*)?\s*[-+]?[\d.,]*\d%?(?:\*\*)?\Z|\\boxed\{[^{}]*\}\$?\Z|(?:^|[ \n(])\[\d+\]\Z|(?:[:：]|\b(?:no|nr|tel|tél|núm)\.|n°)\s*\+?\(?\d[\d .()/-]*\d\Z|[:：]\s*(?=[^\n:：]*\d)(?:[\w'’.,º-]+ ){0,6}(?:[A-ZÀ-Ý][\w'’-]+|[\w-]*\d)\Z")
 _LINK = re.compile(r"(?:https?://|www\.)\S*\Z")
 _LINK_DONE = re.compile(r"https?://[\w.-]+\.[a-z]{2,}(?::\d+)?/\S*[^\W_]\Z|https?://[\w.-]+\.(?:com|org|net|edu|gov|io|example|test|invalid|de|fr|es|br|cn|uk)/?\Z")
+_CODE = re.compile(r"```(.*?)```", re.S)
 _THINK = re.compile(r"<think>.*?</think>", re.S)
 _BULLET = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s+")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+|(?<=[。！？；])[”’》)]*|\n+")
 _UNIT = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+(?:['’-][^\W\d_㐀-鿿]+)*|\d+|[^\w\s]")
+_CODED = re.compile(r"[\w.+-]+ ?[\[(](?:at|AT)[\])] ?[\w-]+(?: ?[\[(](?:dot|DOT)[\])] ?[\w-]+|\.\w[\w.-]*)*|[\w.+-]*@[\w.:-]+\w|\w*\d\w*(?:[.,:/-]\w*\d\w*)*")
 _PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«", "）": "（", "」": "「", "》": "《"}
 
 
@@ -99,8 +107,13 @@ def tail(text: str) -> str:
     return _BULLET.sub("", parts[-1] if parts else last).strip()
 
 
+def _plain(text: str) -> str:
+    """Addresses and all that holds a digit are one number: what they are does not tell how a sentence closes."""
+    return _CODED.sub("0", text) if _CODED.search(text) else text
+
+
 def units(text: str) -> list[str]:
-    return ["0" if w.isdigit() else w.lower() for w in _UNIT.findall(text)]
+    return ["0" if w.isdigit() else w.lower() for w in _UNIT.findall(_plain(text))]
 
 
 class Terminality:
@@ -114,7 +127,7 @@ class Terminality:
 
     def features(self, sentence: str) -> np.ndarray:
         u = units(sentence)
-        raw = _UNIT.findall(sentence)
+        raw = _UNIT.findall(_plain(sentence))
         seen = [w if w in self.vocabulary else ("<X>" if r[:1].isupper() else "<x>") for w, r in zip(u, raw)]
         n = len(seen)
         pad = ["^"] * 5 + seen
@@ -162,9 +175,11 @@ class Terminality:
 
 
 def whole_sentences(texts: list[str]) -> list[str]:
-    """Sentences and lines of texts that something follows or an end mark closes, without the mark."""
+    """Sentences and lines of texts that something follows or an end mark closes, without the mark; lines of closed code blocks."""
     out = []
     for t in texts:
+        for code in _CODE.findall(t) if "```" in t else ():
+            out += [x.strip() for x in code.split("\n")[1:] if len(x.strip()) > 2 and x.rstrip()[-1].isalnum()]
         t = re.sub(r"```.*?(?:```|\Z)", "\n", t, flags=re.S)
         parts = [x.strip() for x in _SENTENCE.split(t) if x and x.strip()]
         if parts and not _CLOSED.search(t.rstrip()):
@@ -177,6 +192,19 @@ def whole_sentences(texts: list[str]) -> list[str]:
     return out
 
 
+def hash_sample(df: DataFrame, rows: int) -> DataFrame:
+    """About so many rows, those below a cut of the hash of row_id that follows from the number of rows.
+
+    The cut is made where the rows are read: nothing but the sample moves, however large the table. Never more than twice
+    as many (row_ids that repeat without end).
+    """
+    n = df.count()  # of the file footers
+    if n <= rows:
+        return df
+    space = 1 << 30
+    return df.where(F.pmod(F.xxhash64("row_id"), F.lit(space)) < int(space * rows / n)).limit(2 * rows)
+
+
 _trained: dict[tuple, Broadcast] = {}
 
 
@@ -185,8 +213,8 @@ def terminality_model(frames: list[tuple[DataFrame, str]]) -> Broadcast:
     spark = frames[0][0].sparkSession
     texts: list[str] = []
     for df, col in frames:
-        pick = df.select(F.xxhash64("row_id").alias("h"), "row_id", F.col(f"{col}.content").alias("c")).orderBy("h", "row_id").limit(SAMPLE_ROWS)
-        texts += [t for r in pick.collect() for t in r.c or [] if t]
+        rows = hash_sample(df, SAMPLE_ROWS).select("row_id", F.col(f"{col}.content").alias("c")).collect()
+        texts += [t for r in sorted(rows, key=lambda r: (r.row_id is None, r.row_id)) for t in r.c or [] if t]
     whole = whole_sentences(texts)
     random.Random(3).shuffle(whole)
     whole = whole[:SAMPLE_SENTENCES]
@@ -229,11 +257,11 @@ def all_turns(sft: DataFrame, dpo: DataFrame) -> DataFrame:
     return turns(sft, "sft", "messages", "source_dataset").unionByName(turns(dpo, "dpo", "chosen", "dataset_source")).unionByName(turns(dpo, "dpo", "rejected", "dataset_source"))
 
 
-_ENDS = "key binary, chars int, open string, score double"
-
-
 def _ends(batches: Iterator[pa.RecordBatch], model: Broadcast, keep: int) -> Iterator[pa.RecordBatch]:
-    """Of each batch the turns whose form does not show them complete, with what is open and the terminality."""
+    """Of each batch the turns that no end mark or closed block ends, with what is open and the terminality.
+
+    A turn that ends with a closing bracket, a result or a link has none: only an alignment can show it cut.
+    """
     m: Terminality = model.value
     for batch in batches:
         rows, chars, opened, score = [], [], [], []
@@ -241,32 +269,49 @@ def _ends(batches: Iterator[pa.RecordBatch], model: Broadcast, keep: int) -> Ite
             if not text or not any(c.isalnum() for c in text[-400:]):
                 continue
             what = open_structure(text)
-            if what is None and closed_form(text):
+            whole = what is None and closed_form(text)
+            if whole and _CLOSED.search(text.rstrip()):
                 continue
             rows.append(i)
             chars.append(len(text))
             opened.append(what)
-            score.append(m.score(tail(text)))
+            score.append(None if whole else m.score(tail(text)))
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(i).take(pa.array(rows, pa.int64())) for i in range(keep + 1)), pa.array(chars, pa.int32()), pa.array(opened, pa.string()), pa.array(score, pa.float64())],
             names=[*batch.schema.names, "chars", "open", "score"],
         )
 
 
-def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _band_batches(batches: Iterator[pa.RecordBatch], seeks: bool, sought: Broadcast | None) -> Iterator[pa.RecordBatch]:
+    """(band, key, chars, same): band keys of texts; seeks: of the longest head and the whole; sought: only those in the set."""
     sketch = Sketcher()
+    bits = sought.value if sought is not None else None
     for batch in batches:
         best: dict[bytes, int] = {k: i for i, k in enumerate(batch.column(0).to_pylist())}
-        pick = list(best.values())
-        texts = batch.column(1).take(pa.array(pick, pa.int64())).to_pylist()
-        have, keys, sizes = sketch.sized_bands(texts)
-        where = np.array(pick, np.int64)[have] if len(have) else have
+        pick = np.array(list(best.values()), np.int64)
+        texts = batch.column(1).take(pa.array(pick)).to_pylist()
+        which, span, same, keys = sketch.head_bands(texts, seeks)
+        flat, row = keys.ravel(), np.repeat(np.arange(len(which)), BANDS)
+        if bits is not None and len(flat):
+            at = flat.view(np.uint64) % np.uint64(SOUGHT_BITS)
+            hit = np.flatnonzero((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
+            flat, row = flat[hit], row[hit]
+        sizes = np.array([len(t) for t in texts], np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.ravel()), batch.column(0).take(pa.array(np.repeat(where, BANDS))), pa.array(np.repeat([len(texts[i]) for i in have], BANDS).astype(np.int32)), pa.array(np.repeat(sizes, BANDS))],
-            names=["band", "key", "chars", "shingles"],
+            [pa.array(flat), batch.column(0).take(pa.array(pick[which[row]] if len(row) else np.zeros(0, np.int64))), pa.array(sizes[which[row]] if len(row) else np.zeros(0, np.int32)), pa.array(same[row])],
+            names=["band", "key", "chars", "same"],
         )
 
 
+def sought_bands(bands: DataFrame) -> Broadcast:
+    """The bit set of the band keys of a column band: SOUGHT_BITS / 64 words at most, whatever the number of keys."""
+    at = F.pmod("band", F.lit(SOUGHT_BITS))  # SOUGHT_BITS divides 2**64, so signed and unsigned keys agree
+    words_of = bands.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, CAST(pmod(band, 64) AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(SOUGHT_BITS // 64, np.uint64)
+    out[words_of.column("word").to_numpy().astype(np.int64)] = words_of.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return bands.sparkSession.sparkContext.broadcast(out)
+
+
 def _costs(t: list[str], w: np.ndarray) -> np.ndarray:
     """Least edit cost of t against a stretch of w that ends at each word of w."""
     cost = np.zeros(len(w) + 1)
@@ -303,12 +348,12 @@ def align_end(a: list[str], b: list[str], reach: int = 40) -> int:
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, cut) for near copies: true if the alignment ends inside a word or sentence of the longer text."""
+    """(key, cut) for near copies: 2 if the alignment ends inside a word, 1 inside a sentence, 0 at an end of the longer text."""
     sketch = Sketcher()
     for batch in batches:
         keys, cuts = [], []
         for key, a, b in zip(*(batch.column(n).to_pylist() for n in ("key", "text", "long_text"))):
-            if jaccard(sketch.shingles(a), sketch.shingles(b)) < SIMILAR:
+            if containment(sketch.shingles(a), sketch.shingles(b)) < SIMILAR:
                 continue
             wa, spans = words(a), [(m.start(), m.end()) for m in re.finditer(r"[㐀-鿿]|[^\W_㐀-鿿]+", b.lower())]
             wb = words(b)
@@ -324,8 +369,8 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inside_word = wb[at] != wa[-1] and wb[at].startswith(wa[-1])
             sentence_end = bool(re.match(r"[\"'”’»)\]]*(?:[.!?…。！？；]|\s*\n|\s*\Z)", rest))
             keys.append(key)
-            cuts.append(bool(inside_word or not sentence_end))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(cuts, pa.bool_())], names=["key", "cut"])
+            cuts.append(2 if inside_word else 0 if sentence_end else 1)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(cuts, pa.int32())], names=["key", "cut"])
 
 
 def open_ended(ts: DataFrame, model: Broadcast) -> DataFrame:
@@ -337,24 +382,25 @@ def open_ended(ts: DataFrame, model: Broadcast) -> DataFrame:
 
 
 def copy_verdicts(doubtful: DataFrame, ts: DataFrame) -> DataFrame:
-    """(key, cut): verdict of the alignment with a longer near copy, for contents (key is their digest) that have one."""
+    """(key, cut): verdict of `_align` with longer near copies, for contents (key is their digest) that have one."""
     key = F.unhex(F.md5("content")).alias("key")
-    shape = "band long, key binary, chars int, shingles int"
-    mine = doubtful.select(key, "content").mapInArrow(_band_batches, shape).distinct()
-    every = ts.where("length(content) > 0").select(key, "content").mapInArrow(_band_batches, shape)
+    shape = "band long, key binary, chars int, same long"
+    mine = doubtful.select(key, "content").mapInArrow(lambda it: _band_batches(it, True, None), shape).distinct()
+    sought = sought_bands(mine)
+    every = ts.where("length(content) > 0").select(key, "content").mapInArrow(lambda it: _band_batches(it, False, sought), shape)
     # the doubtful texts of a band are dealt over blocks by hash, and each text of the band meets every block
-    blocks = mine.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    held = mine.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks")
-    others = every.join(blocks, "band").select("band", F.col("key").alias("long_key"), F.col("chars").alias("long_chars"), F.col("shingles").alias("long_shingles"), "blocks").distinct()
+    blocks = mine.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("chars").alias("shortest"))
+    held = mine.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks", "shortest", "same")
+    # texts that go on alike for three times the head end the alignment alike: the longest of them stands for all
+    longest = every.groupBy("band", "same").agg(F.max("chars").alias("chars"), F.max_by("key", F.struct("chars", "key")).alias("key"))
+    others = longest.join(blocks, "band").where("chars > shortest").select("band", F.col("key").alias("long_key"), F.col("chars").alias("long_chars"), "blocks")
     others = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    # sets of shingles whose sizes differ by more cannot be similar enough
-    sizes = F.least("shingles", "long_shingles") >= F.greatest("shingles", "long_shingles") * F.lit(SIMILAR - 1e-9)
-    pairs = held.join(others, ["band", "block"]).where(sizes & (F.col("long_chars") > F.col("chars"))).select("key", "long_key").distinct()
+    pairs = held.join(others, ["band", "block"]).where(F.col("long_chars") > F.col("chars")).select("key", "long_key").distinct()
     mine_text = doubtful.select(key, F.col("content").alias("text")).groupBy("key").agg(F.first("text").alias("text"))
     wanted = pairs.select(F.col("long_key")).distinct()
     long_text = ts.where("length(content) > 0").select(F.unhex(F.md5("content")).alias("long_key"), F.col("content").alias("long_text")).join(wanted, "long_key", "left_semi").groupBy("long_key").agg(F.first("long_text").alias("long_text"))
     full = pairs.join(mine_text, "key").join(long_text, "long_key").select("key", "text", "long_text")
-    return full.mapInArrow(_align, "key binary, cut boolean").groupBy("key").agg(F.max("cut").alias("cut"))
+    return full.mapInArrow(_align, "key binary, cut int").groupBy("key").agg(F.max("cut").alias("cut"))
 
 
 def field_limits(doubtful: DataFrame) -> DataFrame:
@@ -365,7 +411,9 @@ def field_limits(doubtful: DataFrame) -> DataFrame:
 
 
 #: below this terminality a turn without a copy is cut; at a field limit, below the second
-CUT, CUT_AT_LIMIT = 0.12, 0.97
+CUT, CUT_AT_LIMIT = 0.12, 0.5
+#: from this terminality on a turn that ends with a whole word is no cut copy: the longer text goes on where it may end
+WHOLE = 0.9
 
 
 def truncated_turns(sft: DataFrame, dpo: DataFrame) -> DataFrame:
@@ -380,11 +428,12 @@ def truncated_turns(sft: DataFrame, dpo: DataFrame) -> DataFrame:
     d = d.join(verdicts, "key", "left")
     same = [d["stage"] == limits["stage"], d["source"].eqNullSafe(limits["source"]), d["chars"] == limits["chars"]]
     d = d.join(limits, same, "left").select(d["stage"], "row_id", "side", "turn", d["source"], "open", "score", "cut", "at_limit")
+    unsettled = F.coalesce(F.col("cut") > 0, F.lit(True))
     evidence = (
         F.when(F.col("open").isNotNull(), F.concat(F.lit("open "), F.col("open")))
-        .when(F.col("cut"), "alignment")
-        .when(F.col("at_limit") & (F.col("score") < CUT_AT_LIMIT), "limit")
-        .when(F.coalesce("cut", F.lit(True)) & (F.col("score") < CUT), "closing words")
+        .when((F.col("cut") == 2) | (F.col("cut") == 1) & (F.coalesce("score", F.lit(0.0)) < WHOLE), "alignment")
+        .when(unsettled & F.col("at_limit") & (F.col("score") < CUT_AT_LIMIT), "limit")
+        .when(unsettled & (F.col("score") < CUT), "closing words")
     )
     return d.withColumn("evidence", evidence).where("evidence is not null").select("stage", "row_id", "side", "turn", "source", "evidence", "score")
 
