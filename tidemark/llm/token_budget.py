@@ -129,6 +129,17 @@ class TokenModel:
         between = sum(n * (e * e - pooled * t) / (t * t) for n, e, t in part) / max(1, sum(n for n, _, _ in part))
         self.tau = dict.fromkeys(self.coefficients, float(np.sqrt(max(0.0, between))))
         self.phi = {k: max(v, pooled) for k, v in self.phi.items()}
+        # languages without a function of their own: what the common one misses of each of them as a whole counts too
+        rare: dict[str, list[tuple[float, float]]] = {}
+        for r in rows:
+            if self.of(r[0]) == "*":
+                t = max(0.0, float(r[1] @ self.coefficients["*"])) * self.bias["*"]
+                rare.setdefault(r[0], []).append((r[2] - t, t))
+        if rare:
+            flat = np.array([x for v in rare.values() for x in v])
+            self.phi["*"] = max(self.phi["*"], _per_token(flat[:, 0], flat[:, 1]))
+            off = [sum(e for e, _ in v) / max(1.0, sum(t for _, t in v)) for v in rare.values()]
+            self.tau["*"] = max(self.tau["*"], float(np.sqrt(np.mean(np.square(off)))))
 
     def of(self, lang: str) -> str:
         return lang if lang in self.coefficients else "*"
