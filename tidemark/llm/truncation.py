@@ -3,7 +3,7 @@
 1. Forms. A turn that ends with an end mark or a closed block is complete; one that leaves a code block, bracket, formula,
    link or table row open is cut.
 2. Near copies. Turns of other form are looked up among all texts by min-hash banding of five-word shingles, of whole texts
-   and of their heads of 8, 16, 32 ... words, so that a copy is met wherever it was cut. Pairs in which the longer text
+   and of their heads of 16, 32, 64 ... words, so that a copy is met wherever it was cut. Pairs in which the longer text
    holds 0.8 of the shorter one's shingles are aligned; the copy whose alignment ends inside a word or sentence of the
    other is cut, the one whose end is the end of a sentence there is complete.
 3. Terminality. What has no such copy is scored by a logistic model of how sentences close: their last words, their first
@@ -20,7 +20,7 @@ exact copies meet once. The model is fitted on about ``SAMPLE_ROWS`` rows a tabl
 covers all rows.
 
 Defined results: null, empty and wordless turns are not cut; a turn that repeats the user turn before it is a copy, not
-a cut; repeated rows are each reported; a turn under 8 words is judged by form and terminality only.
+a cut; repeated rows are each reported; a turn under 16 words is judged by form and terminality only.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.minhash import BANDS, SIMILAR, Sketcher, containment, words
+from tidemark.llm.minhash import BANDS, SIMILAR, Sketcher, WORD, containment, words
 from tidemark.session import ensure_checkpoint_dir
 
 #: rows of each table from which the terminality model is fitted, about; those below a cut of the hash of row_id
@@ -287,7 +287,7 @@ def _band_batches(batches: Iterator[pa.RecordBatch], seeks: bool, sought: Broadc
     sketch = Sketcher()
     bits = sought.value if sought is not None else None
     for batch in batches:
-        best: dict[bytes, int] = {k: i for i, k in enumerate(batch.column(0).to_pylist())}
+        best: dict[int, int] = {k: i for i, k in enumerate(batch.column(0).to_pylist())}
         pick = np.array(list(best.values()), np.int64)
         texts = batch.column(1).take(pa.array(pick)).to_pylist()
         which, span, same, keys = sketch.head_bands(texts, seeks)
@@ -347,30 +347,45 @@ def align_end(a: list[str], b: list[str], reach: int = 40) -> int:
         at = at[cost[at] == cost[at].min()]
 
 
+class _Prepared:
+    """Words, their ends and shingles of texts, kept for the pairs that come next."""
+
+    KEPT = 2000
+
+    def __init__(self) -> None:
+        self.sketch = Sketcher()
+        self.texts: dict[int, tuple[list[str], list[int], np.ndarray]] = {}
+
+    def __call__(self, key: int, text: str) -> tuple[list[str], list[int], np.ndarray]:
+        got = self.texts.get(key)
+        if got is None:
+            if len(self.texts) >= self.KEPT:
+                self.texts.clear()
+            low = text.lower()
+            w = words(text)
+            got = self.texts[key] = (w, [m.end() for m in WORD.finditer(low)] if len(low) == len(text) else [], self.sketch.shingles(text))
+        return got
+
+
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, cut) for near copies: 2 if the alignment ends inside a word, 1 inside a sentence, 0 at an end of the longer text."""
-    sketch = Sketcher()
+    short, long = _Prepared(), _Prepared()
     for batch in batches:
         keys, cuts = [], []
-        for key, a, b in zip(*(batch.column(n).to_pylist() for n in ("key", "text", "long_text"))):
-            if containment(sketch.shingles(a), sketch.shingles(b)) < SIMILAR:
-                continue
-            wa, spans = words(a), [(m.start(), m.end()) for m in re.finditer(r"[㐀-鿿]|[^\W_㐀-鿿]+", b.lower())]
-            wb = words(b)
-            if not wa or len(spans) != len(wb):
+        for key, other, a, b in zip(*(batch.column(n).to_pylist() for n in ("key", "long_key", "text", "long_text"))):
+            wa, _, sa = short(key, a)
+            wb, ends, sb = long(other, b)
+            if not wa or len(ends) != len(wb) or containment(sa, sb) < SIMILAR:
                 continue
             at = align_end(wa, wb)
-            if at < 0 or at >= len(wb) - 1 and wb[-1] == wa[-1]:
-                continue
-            if at >= len(wb):
+            if at < 0 or at >= len(wb) or at >= len(wb) - 1 and wb[-1] == wa[-1]:
                 continue
-            stop = spans[at][1]
-            rest = b[stop : stop + 12]
+            rest = b[ends[at] : ends[at] + 12]
             inside_word = wb[at] != wa[-1] and wb[at].startswith(wa[-1])
             sentence_end = bool(re.match(r"[\"'”’»)\]]*(?:[.!?…。！？；]|\s*\n|\s*\Z)", rest))
             keys.append(key)
             cuts.append(2 if inside_word else 0 if sentence_end else 1)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(cuts, pa.int32())], names=["key", "cut"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(cuts, pa.int32())], names=["key", "cut"])
 
 
 def open_ended(ts: DataFrame, model: Broadcast) -> DataFrame:
@@ -383,24 +398,24 @@ def open_ended(ts: DataFrame, model: Broadcast) -> DataFrame:
 
 def copy_verdicts(doubtful: DataFrame, ts: DataFrame) -> DataFrame:
     """(key, cut): verdict of `_align` with longer near copies, for contents (key is their digest) that have one."""
-    key = F.unhex(F.md5("content")).alias("key")
-    shape = "band long, key binary, chars int, same long"
-    mine = doubtful.select(key, "content").mapInArrow(lambda it: _band_batches(it, True, None), shape).distinct()
+    key = F.xxhash64("content").alias("key")
+    shape = "band long, key long, chars int, same long"
+    contents = doubtful.groupBy(key).agg(F.first("content").alias("text"))
+    mine = contents.select("key", "text").mapInArrow(lambda it: _band_batches(it, True, None), shape).select("band", "key", "chars")
     sought = sought_bands(mine)
     every = ts.where("length(content) > 0").select(key, "content").mapInArrow(lambda it: _band_batches(it, False, sought), shape)
     # the doubtful texts of a band are dealt over blocks by hash, and each text of the band meets every block
     blocks = mine.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("chars").alias("shortest"))
-    held = mine.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks", "shortest", "same")
-    # texts that go on alike for three times the head end the alignment alike: the longest of them stands for all
-    longest = every.groupBy("band", "same").agg(F.max("chars").alias("chars"), F.max_by("key", F.struct("chars", "key")).alias("key"))
-    others = longest.join(blocks, "band").where("chars > shortest").select("band", F.col("key").alias("long_key"), F.col("chars").alias("long_chars"), "blocks")
+    held = mine.join(blocks.where("blocks > 1").select("band", "blocks"), "band", "left").withColumn("block", F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
+    # texts that go on alike for three times the head end the alignment alike: one of them stands for all
+    alike = every.groupBy("band", "same").agg(F.max("chars").alias("long_chars"), F.max("key").alias("long_key"))
+    others = alike.join(blocks, "band").where("long_chars > shortest").select("band", "long_key", "long_chars", "blocks")
     others = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    pairs = held.join(others, ["band", "block"]).where(F.col("long_chars") > F.col("chars")).select("key", "long_key").distinct()
-    mine_text = doubtful.select(key, F.col("content").alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+    pairs = held.join(others, ["band", "block"]).where((F.col("long_chars") > F.col("chars")) & (F.col("key") != F.col("long_key"))).select("key", "long_key").distinct()
     wanted = pairs.select(F.col("long_key")).distinct()
-    long_text = ts.where("length(content) > 0").select(F.unhex(F.md5("content")).alias("long_key"), F.col("content").alias("long_text")).join(wanted, "long_key", "left_semi").groupBy("long_key").agg(F.first("long_text").alias("long_text"))
-    full = pairs.join(mine_text, "key").join(long_text, "long_key").select("key", "text", "long_text")
-    return full.mapInArrow(_align, "key binary, cut int").groupBy("key").agg(F.max("cut").alias("cut"))
+    long_text = ts.where("length(content) > 0").select(F.xxhash64("content").alias("long_key"), F.col("content").alias("long_text")).join(wanted, "long_key", "left_semi").groupBy("long_key").agg(F.first("long_text").alias("long_text"))
+    full = pairs.join(contents, "key").join(long_text, "long_key").select("key", "long_key", "text", "long_text")
+    return full.mapInArrow(_align, "key long, cut int").groupBy("key").agg(F.max("cut").alias("cut"))
 
 
 def field_limits(doubtful: DataFrame) -> DataFrame:
@@ -424,7 +439,7 @@ def truncated_turns(sft: DataFrame, dpo: DataFrame) -> DataFrame:
     doubtful = open_ended(ts, model).checkpoint()  # a small part of the turns, used three times
     verdicts = copy_verdicts(doubtful, ts)
     limits = field_limits(doubtful).withColumn("at_limit", F.lit(True))
-    d = doubtful.withColumn("key", F.unhex(F.md5("content"))).drop("content")
+    d = doubtful.withColumn("key", F.xxhash64("content")).drop("content")
     d = d.join(verdicts, "key", "left")
     same = [d["stage"] == limits["stage"], d["source"].eqNullSafe(limits["source"]), d["chars"] == limits["chars"]]
     d = d.join(limits, same, "left").select(d["stage"], "row_id", "side", "turn", d["source"], "open", "score", "cut", "at_limit")
