@@ -65,9 +65,13 @@ def fnv32(text: Column, length: int = 400) -> Column:
     return F.lpad(F.lower(F.hex(h)), 8, "0")
 
 
+#: What is no prose: code blocks, formulas, addresses, inline code, commands of formula text.
+NOISE = (r"(?s)```.*?```", r"(?s)\$\$.*?\$\$|\$[^$\n]+\$|\\\[.*?\\\]|\\\(.*?\\\)", r"https?://\S+|www\.\S+", r"`[^`\n]+`", r"\\[a-zA-Z]+")
+
+
 def strip_noise(text: Column) -> Column:
     """Without code blocks, formulas, addresses, inline code and LaTeX commands."""
-    for pattern in (r"(?s)```.*?```", r"(?s)\$\$.*?\$\$|\$[^$\n]+\$|\\\[.*?\\\]|\\\(.*?\\\)", r"https?://\S+|www\.\S+", r"`[^`\n]+`", r"\\[a-zA-Z]+"):
+    for pattern in NOISE:
         text = F.regexp_replace(text, pattern, " ")
     return text
 
@@ -105,7 +109,8 @@ def occurrences(text: Column, pattern: str) -> Column:
 
 
 #: The shape of a chat-bot credential (account id, time stamp and signature in base64url) and its marker.
-CREDENTIAL = r"(?<![\w\\-])([A-Za-z0-9_-]{20,30})\.[A-Za-z0-9_-]{6}\.[A-Za-z0-9_-]{25,110}(?![\w-])"
+#: In serialized text an escape (\\n, \\u00e9) is a boundary too; a backslash alone is none.
+CREDENTIAL = r"(?:(?<![\w\\-])|(?<=\\[nrtbf\\])|(?<=\\u[0-9a-fA-F]{4}))([A-Za-z0-9_-]{20,30})\.[A-Za-z0-9_-]{6}\.[A-Za-z0-9_-]{25,110}(?![\w-])"
 CREDENTIAL_MARKER = "[REDACTED_DISCORD_TOKEN]"
 
 

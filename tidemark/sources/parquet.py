@@ -74,8 +74,16 @@ def row_page(df: DataFrame, key: str, offset: int, length: int) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
-    """A dense row number over an order: counts of each range partition first, so no task sorts all rows."""
-    ranged = df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    """A dense row number over an order: counts of each range first, so no task sorts all rows.
+
+    The ranges are told by bounds on the order itself (quantiles, one value a range), not by the partition a row happens
+    to be in, so both passes agree however partitions are merged or computed again.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    got = df.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("q")).first().q if parts > 1 else None
+    bounds = F.array(*[F.lit(b) for b in sorted(set(got))]) if got else None
+    part = F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col(order))), F.lit(0)) if got else F.lit(0)
+    ranged = df.withColumn("_part", F.when(F.col(order).isNull(), F.lit(-1)).otherwise(part))
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
     before = counts.withColumn("before", F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).drop("n")
     return ranged.join(F.broadcast(before), "_part").withColumn("row_number", F.col("before") + F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1).drop("_part", "before")

@@ -19,7 +19,8 @@ class NameRules:
     sources: list[tuple[str, str]]
     aliases: dict[str, str] = field(default_factory=dict)
     #: filtering marks, and numbers that stand alone
-    bookkeeping: str = r"(?i)high[-_]quality|vigintile\d*|subset|decon\w*|length|part\d+|(?<![0-9a-z])(?:\d+e\d+|\d+)(?![0-9a-z])"
+    #: Fixed value: parts of a name that tell how its shard was filtered, not where it is from.
+    bookkeeping: str = r"(?i)high[-_]quality|vigintile\d*|subset|decon\w*|fim|length|denyagain|part\d+|(?<![0-9a-z])(?:\d+e\d+|\d+)(?![0-9a-z])"
 
     def split(self, directory: Column) -> Column:
         """struct(source, topic); a name without a known prefix is its own source and has no topic."""

@@ -31,8 +31,13 @@ def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
 def parquet_stream(spark: SparkSession, path: str) -> DataFrame:
     """A stream over the files of a path (a file or a folder)."""
     schema = spark.read.parquet(path).schema
-    # a bare file is matched by a pattern, as the source wants a folder or a pattern
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{path}*")
+    # a folder is streamed as it is; a bare file as the one file of its name in its folder, as the source wants a folder
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
 
 
 def stream_totals(stream: DataFrame, source: Column, text: Column, test: Callable[[Column], Column]) -> DataFrame:
