@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["training_core", "audit", "extras", "records"]
+MODULES = ["training_core", "audit", "extras", "records", "ledger"]
 
 
 def _modules() -> list:
