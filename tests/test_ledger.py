@@ -120,3 +120,23 @@ def test_numbering_with_nulls_and_ties(spark):
     df = spark.createDataFrame([(i % 7 if i % 5 else None,) for i in range(50)], "k long").repartition(3)
     got = sorted(r.row_number for r in parquet.numbered(df, "k").collect())
     assert got == list(range(50)) and parquet.numbered(df.limit(0), "k").count() == 0
+
+
+def test_ngrams_and_postings(spark):
+    from collections import Counter
+
+    from tidemark.operators import terms
+
+    texts = ["the Short poem the short poem", "a  b\nthe short poem", None, "", "x y", "the short poem"]
+    df = spark.createDataFrame([(t, 1) for t in texts], "text string, gram int").repartition(3)
+    seen, docs = Counter(), Counter()
+    for t in texts:
+        w = (t or "").lower().split()
+        g = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)]
+        seen.update(g)
+        docs.update(set(g))
+    got = {r.gram: (r.occurrences, r.documents) for r in terms.ngram_counts(df, "text").collect()}
+    assert got == {g: (seen[g], docs[g]) for g in seen}
+    assert [r.gram for r in terms.ngram_counts(df, "text", 3, 4).collect()] == ["the short poem"] and terms.ngram_counts(df.limit(0), "text").count() == 0
+    p = terms.postings(spark.createDataFrame([(1, "abc"), (12, "xABC"), (13, "ab"), (14, None)], "k long, t string"), "k", "t", 10)
+    assert sorted((r.gram, r.block, r.postings) for r in p.collect()) == [("abc", 0, [1]), ("abc", 1, [12]), ("xab", 1, [12])]

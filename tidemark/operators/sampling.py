@@ -30,7 +30,7 @@ def pps_sample(groups: DataFrame, key: str, size: str, draws: int, seed: int) ->
     total = groups.agg(F.sum(size).alias("total"))
     at = spark.range(draws).select(F.col("id").alias("draw"), F.conv(F.left(order_key(F.col("id"), seed), F.lit(12)), 16, 10).cast("long").alias("h"))
     points = at.join(total, how="cross").withColumn("at", F.pmod(F.col("h"), F.col("total")))
-    return points.join(F.broadcast(span), (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).select("draw", key)
+    return points.join(span, (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).select("draw", key)
 
 
 def stratified_steps(df: DataFrame, step: str, total: int, slices: int, seed: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats, text
-from tidemark.operators import chains, contamination, fields, grep, preference, sampling
+from tidemark.operators import chains, contamination, fields, grep, preference, sampling, terms
 from tidemark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -703,8 +703,7 @@ _GRAMS = "(SELECT DISTINCT item_id, substr(lower(question), CAST(i AS BIGINT), 3
 
 @_query("trigram_postings", f"SELECT gram, count(*) AS items, min(item_id) AS first_item, list_sort(list(item_id)) AS postings FROM {_GRAMS} g GROUP BY 1", "eval_items")
 def _(items: DataFrame) -> DataFrame:
-    g = items.select("item_id", F.explode(text.trigrams(F.col("question"))).alias("gram"))
-    return g.groupBy("gram").agg(F.count(F.lit(1)).alias("items"), F.min("item_id").alias("first_item"), F.array_sort(F.collect_list("item_id")).alias("postings"))
+    return terms.postings(items, "item_id", "question").drop("block")  # the items are one block
 
 
 @_query("trigram_search", "SELECT item_id FROM eval_items WHERE contains(lower(question), 'lanterns')", "eval_items")
@@ -722,10 +721,7 @@ SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\t\n\f\r ]+'), l
     "documents",
 )
 def _(docs: DataFrame) -> DataFrame:
-    w = docs.where("text is not null").select("doc_id", contamination.word_array(F.col("text")).alias("w")).where("size(w) >= 3")
-    g = w.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("gram"))
-    per = g.groupBy("gram", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("gram").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("documents")).where("occurrences >= 20")
+    return terms.ngram_counts(docs, "text", 3, 20)
 
 
 @_query("occurrence_counts", "SELECT doc_id, (length(lower(text)) - length(replace(lower(text), 'the short poem', ''))) // 14 AS occurrences FROM documents WHERE contains(lower(text), 'the short poem')", "documents")
@@ -741,7 +737,8 @@ def _(docs: DataFrame) -> DataFrame:
 def _(docs: DataFrame) -> DataFrame:
     h = F.coalesce(text.host(F.concat(F.lit("http://"), F.nullif("site", F.lit("")))), F.lit("(no url recorded)"))
     g = docs.where(F.contains(F.lower("text"), F.lit("the short poem"))).groupBy(h.alias("host")).agg(F.sum(text.occurrences(F.col("text"), "the short poem")).alias("weight"))
-    return g.withColumn("share", F.round(F.col("weight") / F.sum("weight").over(Window.partitionBy()), 6))
+    whole = g.agg(F.sum("weight").alias("whole"))  # one row
+    return g.join(whole, how="cross").select("host", "weight", F.round(F.col("weight") / F.col("whole"), 6).alias("share"))
 
 
 @_query(
