@@ -6,8 +6,9 @@ probabilities in proportion to a weight (the quality in their metadata), one at
 what remains; they are ranked by U/(1-U) over p/(1-p), U a hash of the id, and the least are taken until the size is met.
 
 Scale. Texts are read once, for their sizes; all else works on (id, source, tokens, weight), checkpointed. The scaling
-needs only sums by source and weight step. The cut in the ranking is found in a histogram of the ranks, and only the one
-bin that holds it is put in order, so a source that holds a third of all rows is never sorted in one task.
+needs only sums by source and weight step. The cut in the ranking is found in a histogram of the ranks and then in one of
+the bin that holds it; only the part of that bin that holds it, 1 / 262144 of a factor e of the ranks, is put in order,
+so a source that holds a third of all rows is never sorted in one task.
 
 Defined results: documents without tokens or without a source are never chosen; a source of no documents reaches 0; where
 ``max_repeats`` whole copies do not reach the target the shortfall is reported and not given to other sources; ties in
@@ -26,6 +27,8 @@ from tidemark.session import ensure_checkpoint_dir
 
 #: weight of a document whose metadata give none, steps of weights, bins of the ranking for each factor e
 NO_QUALITY, STEPS, BINS = 0.5, 1000, 64
+#: parts of the bin of the cut
+FINE = 4096
 
 
 def quality(metadata: Column) -> Column:
@@ -90,12 +93,18 @@ def select_mix(sizes: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[Da
     bins = ranked.where("rest > 0 and bin is not null").groupBy("source", "bin", "rest").agg(F.sum("tokens").alias("tokens"))
     upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("bin"))
     cut = bins.withColumn("upto", upto).where("upto >= rest").groupBy("source").agg(F.min_by("bin", "bin").alias("cut_bin"), F.min_by(F.col("upto") - F.col("tokens"), "bin").alias("before"))
-    placed = ranked.join(cut, "source", "left")
-    edge = placed.where("bin = cut_bin")
+    placed = ranked.join(cut, "source", "left").withColumn("fine", F.when(F.col("bin") == F.col("cut_bin"), F.floor((F.col("rank") * BINS - F.col("bin")) * FINE).cast("int")))
+    # the bin of the cut is split once more, so that the part put in order stays small however large the source
+    parts = placed.where("fine is not null").groupBy("source", "fine", "before", "rest").agg(F.sum("tokens").alias("tokens"))
+    upto = F.col("before") + F.sum("tokens").over(Window.partitionBy("source").orderBy("fine"))
+    last = parts.withColumn("upto", upto).where("upto >= rest").groupBy("source").agg(F.min("fine").alias("cut_fine"), F.min_by(F.col("upto") - F.col("tokens"), "fine").alias("before_fine"))
+    placed = placed.join(last, "source", "left")
+    edge = placed.where("fine = cut_fine")
     run = F.sum("tokens").over(Window.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     # the document that crosses the line is taken if that comes nearer
-    edge = edge.withColumn("extra", (F.col("before") + run - F.col("tokens") / 2 <= F.col("rest")).cast("int"))
-    sure = placed.where("bin is null or cut_bin is null or bin <> cut_bin").withColumn("extra", F.coalesce((F.col("rest") > 0) & F.col("bin").isNotNull() & (F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin"))), F.lit(False)).cast("int"))
+    edge = edge.withColumn("extra", (F.col("before_fine") + run - F.col("tokens") / 2 <= F.col("rest")).cast("int"))
+    whole = F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin")) | (F.col("fine") < F.col("cut_fine"))
+    sure = placed.where("fine is null or cut_fine is null or fine <> cut_fine").withColumn("extra", F.coalesce((F.col("rest") > 0) & F.col("bin").isNotNull() & whole, F.lit(False)).cast("int"))
     cols = ["doc_id", "source", "tokens", (F.col("whole") + F.col("extra")).cast("int").alias("copies")]
     return sure.select(*cols).unionByName(edge.select(*cols)).where("copies > 0"), goal, total
 

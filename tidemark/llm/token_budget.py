@@ -125,9 +125,14 @@ class TokenModel:
         groups: dict[tuple, list[int]] = {}
         for i, r in enumerate(hold):
             groups.setdefault((r[0], *r[4]), []).append(i)
-        part = [(len(g), error[g].sum(), max(1.0, guess[g].sum())) for g in groups.values() if len(g) > 1]
-        between = sum(n * (e * e - pooled * t) / (t * t) for n, e, t in part) / max(1, sum(n for n, _, _ in part))
-        self.tau = dict.fromkeys(self.coefficients, float(np.sqrt(max(0.0, between))))
+        between = 0.0  # of slices, and of all that have a language, source or domain in common: their chance is smaller
+        for of in (lambda r: (r[0], *r[4]), lambda r: r[0], lambda r: r[4][:1], lambda r: r[4][1:]):
+            alike: dict[object, list[int]] = {}
+            for i, r in enumerate(hold):
+                alike.setdefault(of(r), []).append(i)
+            part = [(len(g), error[g].sum(), max(1.0, guess[g].sum())) for g in alike.values() if len(g) > 1]
+            between = max(between, sum(n * max(0.0, e * e - pooled * t) / (t * t) for n, e, t in part) / max(1, sum(n for n, _, _ in part)))
+        self.tau = dict.fromkeys(self.coefficients, float(np.sqrt(between)))
         self.phi = {k: max(v, pooled) for k, v in self.phi.items()}
         # languages without a function of their own: what the common one misses of each of them as a whole counts too
         rare: dict[str, list[tuple[float, float]]] = {}
@@ -140,6 +145,13 @@ class TokenModel:
             self.phi["*"] = max(self.phi["*"], _per_token(flat[:, 0], flat[:, 1]))
             off = [sum(e for e, _ in v) / max(1.0, sum(t for _, t in v)) for v in rare.values()]
             self.tau["*"] = max(self.tau["*"], float(np.sqrt(np.mean(np.square(off)))))
+        # errors have longer tails than the normal law: the width that holds 95 % of the holdout's slices, if it is greater
+        z = []
+        for (lang, *_), g in groups.items():
+            k, t = self.of(lang), max(1.0, guess[g].sum())
+            z.append(abs(error[g].sum()) / np.sqrt((t * self.spread[k]) ** 2 + (t * self.tau[k]) ** 2 + self.phi[k] * t + 1e-9))
+        at = int(np.ceil(0.95 * (len(z) + 1))) - 1
+        self.width = float(min(4.0, max(1.96, sorted(z)[at] if 0 <= at < len(z) else 1.96)))
 
     def of(self, lang: str) -> str:
         return lang if lang in self.coefficients else "*"
@@ -172,7 +184,7 @@ def token_budget(sft: DataFrame, vocab: DataFrame) -> DataFrame:
 
     linear = sum(F.col(f) * pick({k: b[i] for k, b in model.coefficients.items()}) for i, f in enumerate(FEATURES))
     tokens = F.greatest(F.lit(0.0), linear * pick(model.bias))
-    margin = 1.96 * F.sqrt(F.pow(tokens * pick(model.spread), 2) + F.pow(tokens * pick(model.tau), 2) + tokens * pick(model.phi))
+    margin = model.width * F.sqrt(F.pow(tokens * pick(model.spread), 2) + F.pow(tokens * pick(model.tau), 2) + tokens * pick(model.phi))
     return sums.select(
         "source_dataset", "language", "domain", "rows",
         F.round(tokens).cast("long").alias("tokens"),
