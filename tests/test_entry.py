@@ -48,3 +48,13 @@ def test_same_as_sql(spark, data, name):
     assert sorted(names) == cols
     at = [names.index(c) for c in cols]
     assert got == sorted(repr(tuple(normal(row[i]) for i in at)) for row in res.fetchall())
+
+
+def test_queries_are_listed_without_a_session():
+    """The lists are made before there is a session: no column is built until a query is called."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 100"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)

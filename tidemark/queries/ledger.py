@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
@@ -101,11 +101,14 @@ def _crosstab(spark: SparkSession, d: str) -> DataFrame:
     return matching.crosstab(sft, sft, "id", "domain", "source_dataset", top=5)
 
 
+def _longer_side() -> Column:
+    chosen, rejected = (F.length(F.element_at(F.filter(F.col(f"{c}.content"), lambda x: x.isNotNull()), -1)) for c in ("chosen", "rejected"))
+    return F.when(chosen > rejected, "longer").when(chosen < rejected, "shorter")
+
+
 def queries() -> dict[str, Query]:
     t = table
     q = lambda c: F.round(c, 6)
-    lengths = lambda c: F.length(F.element_at(F.filter(F.col(f"{c}.content"), lambda x: x.isNotNull()), -1))
-    side = F.when(lengths("chosen") > lengths("rejected"), "longer").when(lengths("chosen") < lengths("rejected"), "shorter")
     return {
         "contaminate_rows": _rows_hit,
         "contaminate_sides": lambda s, d: _rows_hit(s, d).groupBy("stage", "side", "part").agg(F.countDistinct("row").alias("rows"), F.countDistinct("item_id").alias("items")),
@@ -122,7 +125,7 @@ def queries() -> dict[str, Query]:
         "document_dates": lambda s, d: t(s, d, "documents").select("doc_id", cells.iso_utc(F.col("crawled_at")).alias("crawled")),
         "crawl_snapshots": lambda s, d: t(s, d, "documents").groupBy(cells.snapshot(F.col("metadata")).alias("snapshot")).agg(F.count(F.lit(1)).alias("documents")),
         "judge_batches": lambda s, d: cells.batches(parquet.numbered(t(s, d, "documents").select("doc_id"), "doc_id"), "doc_id"),
-        "stance_net": lambda s, d: cells.net(t(s, d, "dpo_rows"), F.coalesce(F.nullif("dataset_source", F.lit("")), F.lit("(no source value)")), side, "longer", "shorter"),
+        "stance_net": lambda s, d: cells.net(t(s, d, "dpo_rows"), F.coalesce(F.nullif("dataset_source", F.lit("")), F.lit("(no source value)")), _longer_side(), "longer", "shorter"),
         "crosstab_joined": _crosstab,
         "pairing_evidence": lambda s, d: matching.pairing_evidence(t(s, d, "sft_rows").where("domain = 'chat'"), t(s, d, "sft_rows"), "id").withColumn("rate", q("rate")),
         "lengths_by_text": lambda s, d: matching.lengths_by_text(t(s, d, "dpo_rows").select("row_id", "prompt"), t(s, d, "dpo_rows").where("id is not null").select("prompt", F.length("prompt").alias("chars")), "row_id", "prompt"),
