@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import random
 import re
 
+import numpy as np
 import pytest
 
-from tidemark.llm import pii, pii_training
+from tidemark.llm import crf, pii, pii_training
 
 SCHEMA = "row_id long, messages array<struct<content:string,role:string>>, turn int, kind string"
 
@@ -95,3 +97,52 @@ def test_names_of_other_forms(model):
 def test_repeats_are_tied():
     edges = pii.skip_edges(["Tovrin", "came", "and", "Tovrin", "left", "with", "Halmark-Brenn", "x", "Halmark"], {"came", "left"})
     assert (0, 3) in edges and (6, 8) in edges
+
+
+def test_every_word_of_every_turn_is_scored(model, monkeypatch):
+    seen = []
+    emissions = model.crf.emissions
+    monkeypatch.setattr(model.crf, "emissions", lambda seqs: seen.extend(seqs) or emissions(seqs))
+    turns = ["Plain words, nothing else. " * 30, None, "", "word " * 40 + "a.b@c.example " + "word " * 40, "这里没有任何东西。"]
+    model.label([turns])
+    assert [[w.partition("\x01")[0] for w in s] for s in seen] == [pii.tokens(t)[0] for t in turns if t]
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "value"),
+    [
+        ("Sender: Tovrin\tHalmark", "name", "Tovrin\tHalmark"),
+        ("name | Tovrin\tHalmark |", "name", "Tovrin\tHalmark"),
+        ("ID number | AB  12 34 56  C |", "id_number", "AB  12 34 56  C"),
+        ("Write to vela.morrin (At) post.example.net", "email", "vela.morrin (At) post.example.net"),
+    ],
+)
+def test_values_without_the_usual_blanks(model, text, kind, value):
+    for turns in ([text], ["Plain words. " * 40, text, "Nothing else."]):
+        (found,) = model.label([turns])
+        assert [(k, turns[t][a:b]) for t, k, a, b, _ in found] == [(kind, value)]
+
+
+def test_chinese_beside_a_number_is_no_street(model):
+    assert not model._plausible("street", ["验", "6", "e4"], "") and model._plausible("street", ["中", "山", "路", "12", "号"], "")
+    assert model.label([["在实验3714a中，旅行计划经过132步之后才重新建立。在实验6e4c6中，来源列经过218步之后才重新建立。"]]) == [[]]
+
+
+def test_words_and_spans_of_odd_texts():
+    r = random.Random(5)
+    bits = ["foo", "Bar", " ", "  ", "@", "[at]", " (At) ", "[dot]", ".", "-", "_", "+", "12", "5551234", "(020)", "\n", "https://", "x@y.org", "王晓", "路12号", "'", "é", "[NAME_1]", "ext 5", "ſ", "İ", "ab1234567"]
+    for _ in range(3000):
+        text = "".join(r.choice(bits) for _ in range(r.randint(1, 14)))
+        want = [(c, i) for m in pii._TOKEN.finditer(text) for c, i in ([(m[0], m.start())] if not pii._WORDS_HAN.search(m[0]) else zip(m[0], range(m.start(), m.end())))]
+        words, spans = pii.tokens(text)
+        assert list(zip(words, [a for a, _ in spans])) == want and pii.words_of(text) == words and pii.spans_of(text, words) == spans
+
+
+def test_chains_of_any_length_are_exact():
+    """Blocks of a long chain, and chains stepped together, give the marginals of plain forward-backward."""
+    r = np.random.default_rng(3)
+    trans, start, agree = r.normal(size=(1, 6, 6)), r.normal(size=6), np.zeros((6, 6))
+    chains = [r.normal(size=(n, 6)) * 3 for n in (1, 7, 300, crf.LONG - 1, crf.LONG, crf.LONG + crf.BLOCK + 3)]
+    for e, got in zip(chains, crf.skip_chain_marginals(chains, [[(0, 0)] if len(e) == 7 else [] for e in chains], trans, start, agree)):
+        want, _, _ = crf.forward_backward(e[None], np.array([len(e)]), trans, np.zeros((1, len(e)), np.int8), start)
+        assert np.allclose(got, want[0], atol=1e-9)

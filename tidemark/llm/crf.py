@@ -232,6 +232,61 @@ class ChainCRF:
         return self
 
 
+def chain_marginals(potentials: np.ndarray, live: np.ndarray, trans: np.ndarray, enter: np.ndarray, leave: np.ndarray) -> np.ndarray:
+    """Marginals [T, L, n] of n chains, the longest first; ``live[t]`` of them have a token t.
+
+    potentials: positive [T, L, n]; trans: positive [L, L]; enter, leave [L, n]: what stands before and behind the chains.
+    """
+    alpha, into = np.ones_like(potentials), np.ascontiguousarray(trans.T)
+    alpha[0] = enter * potentials[0]
+    alpha[0] /= alpha[0].sum(0)
+    for t in range(1, len(potentials)):
+        k = live[t]
+        cur = into @ alpha[t - 1, :, :k]
+        cur *= potentials[t, :, :k]
+        cur /= cur.sum(0)
+        alpha[t, :, :k] = cur
+    beta = leave.copy()
+    alpha[-1, :, : live[-1]] *= beta[:, : live[-1]]
+    for t in range(len(potentials) - 1, 0, -1):
+        k = live[t]
+        back = trans @ (beta[:, :k] * potentials[t, :, :k])
+        back /= back.sum(0)
+        beta[:, :k] = back
+        alpha[t - 1, :, : live[t - 1]] *= beta[:, : live[t - 1]]
+    alpha /= alpha.sum(1, keepdims=True)
+    return alpha
+
+
+#: tokens from which a chain is stepped in blocks, and tokens of a block (exact: blocks are joined by their products)
+LONG, BLOCK = 4096, 512
+
+
+def long_marginals(potentials: np.ndarray, trans: np.ndarray, enter: np.ndarray) -> np.ndarray:
+    """Marginals [T, L] of one chain of positive potentials [T, L]: its blocks are stepped together."""
+    T, L = potentials.shape
+    n = -(-T // BLOCK)
+    e = np.ones((n * BLOCK, L))
+    e[:T] = potentials
+    e = np.ascontiguousarray(e.reshape(n, BLOCK, L).transpose(1, 2, 0))
+    live = np.where(np.arange(BLOCK) < T - (n - 1) * BLOCK, n, n - 1)
+    whole = np.zeros((n, L, L))  # product of a block's potentials and the transitions inside it
+    whole[:, range(L), range(L)] = e[0].T
+    for t in range(1, BLOCK):
+        k = live[t]
+        cur = (whole[:k] @ trans) * e[t, :, :k].T[:, None, :]
+        whole[:k] = cur / cur.sum((1, 2), keepdims=True)
+    first, last = np.ones((L, n)), np.ones((L, n))
+    first[:, 0] = enter
+    for b in range(1, n):
+        v = (first[:, b - 1] @ whole[b - 1]) @ trans
+        first[:, b] = v / v.sum()
+    for b in range(n - 2, -1, -1):
+        v = trans @ (whole[b + 1] @ last[:, b + 1])
+        last[:, b] = v / v.sum()
+    return chain_marginals(e, live, trans, first, last).transpose(2, 0, 1).reshape(n * BLOCK, L)[:T]
+
+
 def skip_chain_marginals(
     emissions: list[np.ndarray],
     edges: list[list[tuple[int, int]]],
@@ -246,40 +301,42 @@ def skip_chain_marginals(
     chain inference under the messages that came over the skip edges, then renews these messages from both ends.
     Chains without an edge are exact after the first round.
     """
-    out: list[np.ndarray] = [np.zeros((0, trans.shape[-1]))] * len(emissions)
-    lengths = [len(e) for e in emissions]
     L = trans.shape[-1]
-    factor = np.exp(agree)
-    for group in plan(lengths):
-        n = np.array([lengths[i] for i in group])
-        if not n.max():
-            continue
-        base = np.zeros((len(group), n.max(), L))
+    out: list[np.ndarray] = [np.zeros((0, L))] * len(emissions)
+    lengths = np.array([len(e) for e in emissions], np.int64)
+    factor, step, enter = np.exp(agree), np.exp(trans[0]), np.exp(start)
+    short, far = np.flatnonzero((lengths > 0) & (lengths < LONG)), np.flatnonzero(lengths >= LONG)
+    groups = [short[g][::-1] for g in plan(lengths[short], 400_000)] + [np.array([i]) for i in far]
+    for group in groups:
+        n, T = lengths[group], lengths[group[0]]
+        live = (np.arange(T)[:, None] < n).sum(1)
+        base = np.zeros((T, L, len(group)))
         for r, i in enumerate(group):
-            base[r, : n[r]] = emissions[i]
+            base[: n[r], :, r] = emissions[i]
         row = np.array([r for r, i in enumerate(group) for _ in edges[i]], np.int64)
         u = np.array([a for i in group for a, _ in edges[i]], np.int64)
         v = np.array([b for i in group for _, b in edges[i]], np.int64)
         to_u, to_v = np.zeros((len(row), L)), np.zeros((len(row), L))  # log messages
-        kind = np.zeros((len(group), n.max()), np.int8)
         for _ in range(rounds if len(row) else 1):
             e = base.copy()
             if len(row):
-                np.add.at(e, (row, u), to_u)
-                np.add.at(e, (row, v), to_v)
-            m, _, _ = forward_backward(e, np.maximum(n, 1), trans, kind, start)
+                np.add.at(e, (u, slice(None), row), to_u)
+                np.add.at(e, (v, slice(None), row), to_v)
+            e -= e.max(1, keepdims=True)
+            np.exp(e, out=e)
+            if T >= LONG:
+                m = long_marginals(e[:, :, 0], step, enter)[:, :, None]
+            else:
+                m = chain_marginals(e, live, step, np.repeat(enter[:, None], len(group), 1), np.ones((L, len(group))))
             if not len(row):
                 break
-            for side, came, send in ((u, to_u, "v"), (v, to_v, "u")):
-                belief = np.log(np.maximum(m[row, side], 1e-12)) - came
+            fresh = []
+            for side, came in ((u, to_u), (v, to_v)):
+                belief = np.log(np.maximum(m[side, :, row], 1e-12)) - came
                 belief -= belief.max(1, keepdims=True)
                 msg = np.log(np.exp(belief) @ factor)
-                msg -= msg.mean(1, keepdims=True)
-                if send == "v":
-                    fresh_v = msg
-                else:
-                    fresh_u = msg
-            to_u, to_v = 0.5 * (to_u + fresh_u), 0.5 * (to_v + fresh_v)
+                fresh.append(msg - msg.mean(1, keepdims=True))
+            to_u, to_v = 0.5 * (to_u + fresh[1]), 0.5 * (to_v + fresh[0])
         for r, i in enumerate(group):
-            out[i] = m[r, : lengths[i]]
+            out[i] = m[: n[r], :, r]
     return out

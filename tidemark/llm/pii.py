@@ -5,13 +5,13 @@ and its neighbours' features; tokens that recur in a record (a name, a number, a
 edges whose potentials are learned from how often such pairs carry the same label, and loopy message passing makes the
 labels of a record agree. Spans of a label become typed placeholders; all other characters stay.
 
-Only neighbourhoods of trigger patterns are scored: an at sign; seven or more digits in a chain, or six with letters; a
-street word beside a number; two capitalised words, also with a particle between, of which one is unknown; two unknown
-words of any case after words that introduce a name; a Chinese family name with one or two characters beside such words
-or a title. Not found are, by this: single names, names in lower case that nothing introduces, Chinese names in running
-text, streets without a number. Training is on texts composed by a grammar (`pii_training`), once a session on the driver;
-from which posterior on a token is taken is set on texts with cue words that training has not seen. Labelling is one pass
-without a shuffle.
+Every token of every turn is scored; a turn is a chain, and ties reach over all turns of its record. What the model has
+labelled must have the forms that a value cannot do without (`PiiModel._plausible`): an at sign; seven digits, or six with
+letters; a street word and a number; two capitalised words, one of them unknown, two unknown words in lower case, or a
+Chinese family name with one or two characters. Not found are, by this, single names and streets without a number; names
+in lower case that nothing introduces and Chinese names in running text are scored, but the model rarely labels them.
+Training is on texts composed by a grammar (`pii_training`), once a session on the driver; from which posterior on a token
+is taken is set on texts with cue words that training has not seen. Labelling is one pass without a shuffle.
 
 Defined results: null and empty turns stay as they are and hold nothing; masks already present stay; repeated records
 are labelled alike, row by row; texts may be of any length.
@@ -20,7 +20,8 @@ are labelled alike, row by row; texts may be of any length.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,15 @@ MAX_SAMPLES = 2000
 _MASK = r"[\[<][A-Z]{2,}(?:_[A-Z]+)*_?\d*[\]>]"
 _MAIL = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|[\w.+-]+ ?[\[(]at[\])] ?[\w-]+(?:(?: ?[\[(]dot[\])] ?|\.)[\w-]+)+|[\w.+-]*@[\w:./-]*"
 _NUMBER = r"\+?\(?\d[\d()./:-]*(?:[  ][\d(][\d()./:-]*)*\d(?:[A-Za-z]\b)?(?: ?(?:ext\.?|x) ?\d+)?"
-_TOKEN = re.compile(rf"{_MASK}|https?://\S+|{_MAIL}|{_NUMBER}|\d+[A-Za-z]?\b|[A-Z]{{1,2}}\d{{6,}}[A-Z]?|[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*|_+|\n|\S", re.I)
+_OTHERS = rf"{_NUMBER}|\d+[A-Za-z]?\b|[A-Z]{{1,2}}\d{{6,}}[A-Z]?|[^\W\d_]+(?:['’-][^\W\d_]+)*|_+|\n|\S"
+_TOKEN = re.compile(rf"{_MASK}|https?://\S+|{_MAIL}|{_OTHERS}", re.I)
+#: the same where no at sign follows the word, with both cases written out, which is tried faster
+_ANY = "A-Za-zİıſK"
+_PLAIN = re.compile(
+    rf"[\[<][{_ANY}]{{2,}}(?:_[{_ANY}]+)*_?\d*[\]>]|[hH][tT][tT][pP][sSſ]?://\S+"
+    rf"|\+?\(?\d[\d()./:-]*(?:[  ][\d(][\d()./:-]*)*\d(?:[{_ANY}]\b)?(?: ?(?:[eE][xX][tT]\.?|[xX]) ?\d+)?"
+    rf"|\d+[{_ANY}]?\b|[{_ANY}]{{1,2}}\d{{6,}}[{_ANY}]?|[^\W\d_]+(?:['’-][^\W\d_]+)*|_+|\n|\S"
+)
 _WORDS_HAN = re.compile(r"[㐀-鿿]")
 
 #: Words that name a street in six languages.
@@ -50,14 +59,13 @@ STREET_WORDS = (
 )
 _STREET_ENDS = r"(?:stra(?:ß|ss)e|gasse|weg|allee|platz|ring|damm|ufer|steig|pfad|chaussee)"
 _STREET = re.compile(rf"\b(?:{STREET_WORDS})\b|\b[A-ZÄÖÜ]\w+{_STREET_ENDS}\b|[㐀-鿿]{{1,6}}(?:路|街|大道|巷|弄)\d+ ?号")
-_DIGITS = re.compile(r"\d")
+_STREET_HAN = re.compile(r"[路街道巷弄号]")
 _LINK = r"(?:[ \xa0]+(?:de l['’]|d['’]|l['’])?[^\W\d_]+(?:['’-][^\W\d_]+)*)"
 #: the form of an address: a number before or behind a street word and the words that belong to it
 _ADDRESS = re.compile(
     rf"\b\d{{1,4}}[A-Za-z]?(?: bis| ter)?,?(?:[ \xa0]+[A-ZÄÖÜÉ][\w'’-]+){{0,3}}[ \xa0]+(?:{STREET_WORDS})\b(?:[ \xa0]+(?:de|du|des|de la|del|la|las|los)(?: la)?\b{_LINK}{{1,2}})?"
     rf"|\b(?:{STREET_WORDS})\b{_LINK}{{1,4}},? \d{{1,4}}\b|\b[A-ZÄÖÜ]\w+{_STREET_ENDS} \d{{1,4}}[a-z]?\b|[㐀-鿿]{{1,6}}(?:路|街|大道|巷|弄)\d+ ?号"
 )
-_CHAIN = re.compile(r"(?<!\d)\d(?:[  ().,/:+-]{0,2}\d){6,}|[A-Za-z]{1,2}\d{6,}|\b[A-Z]{2}(?: \d\d){3} [A-Z]\b")
 _PROPER = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]+(?:['’-][^\W\d_]+)*"
 _UPPER_PAIR = re.compile(rf"\b({_PROPER}),?[  ]+(?:([^\W\d_a-zß-öø-ÿ])\.[  ]+|(?:de|da|do|dos|das|del|di|von|van|der|le|la|el|al)[  ]+(?:la[  ]+|der[  ]+|los[  ]+)?)?({_PROPER})")
 #: Words that introduce a name, in any case.
@@ -65,7 +73,10 @@ _INTRODUCED = re.compile(r"\b(?:name is|name's|name:|i am|i'm|named|called|ich h
 _HAN_NAME = re.compile(rf"(?:姓名|联系人|收件人|寄件人|患者|客户|作者|签名|名叫|我叫|我是|名字)[：:是为]?\s?([{SURNAMES}][㐀-鿿]{{1,2}})|([{SURNAMES}][㐀-鿿]{{1,2}})(?=先生|女士|老师|医生|说|写道)")
 _AT = re.compile(r"@|[\[(]at[\])]", re.I)
 
-_BEFORE, _AFTER = 60, 50
+#: in lower case, what each form of `_INTRODUCED` holds
+_INTRODUCING = ("name", "i am", "i'm", "called", "ich heiße", "je m'appelle", "me llamo", "mi nombre es", "eu me chamo", "meu nome é")
+#: characters labelled at once, whole records (a memory bound, not a cap on the data)
+AT_ONCE = 1_000_000
 #: posteriors (of all kinds together) tried as the least at which a token is personal data of its likeliest kind; in
 #: doubt a value is masked, so none is above one half
 TRIED = (0.1, 0.2, 0.3, 0.4, 0.5)
@@ -84,6 +95,8 @@ _FORMS = {
     "word": np.array([0, _NEVER, _NEVER, _NEVER, 0, 0]),
     "mark": np.zeros(6),
 }
+#: potentials of the place between two turns, which is nobody's
+_BETWEEN = np.array([[0] + [_NEVER] * (len(KINDS) - 1)], np.float32)
 
 
 def forms(words: list[str]) -> np.ndarray:
@@ -91,14 +104,38 @@ def forms(words: list[str]) -> np.ndarray:
     out = np.zeros((len(words), len(KINDS)))
     for i, w in enumerate(words):
         digits = sum(c.isdigit() for c in w)
-        form = "mail" if _AT.search(w) else "long number" if digits >= 7 else "short number" if digits else "word" if w[0].isalpha() and len(w) > 1 else "mark"
+        form = "mail" if _AT.search(w) else "long number" if digits >= 7 else "short number" if digits else "word" if w[:1].isalpha() and len(w) > 1 else "mark"
         out[i] = _FORMS[form]
     return out
 
 
+def _matches(text: str) -> Iterator[re.Match]:
+    """The matches of `_TOKEN` in order; `_MAIL` is tried only at words that an at sign follows, so time is linear."""
+    at = 0
+    if "@" in text or "]" in text or ")" in text:
+        for sign in _AT.finditer(text):
+            if sign.start() < at:
+                continue
+            start = sign.start()
+            if text[start] != "@" and start > at and text[start - 1] == " ":
+                start -= 1
+            while start > at and (text[start - 1].isalnum() or text[start - 1] in "_.+-"):
+                start -= 1
+            for m in _PLAIN.finditer(text, at):
+                if m.start() >= start:
+                    break
+                yield m
+                at = m.end()
+            if at <= sign.start():
+                m = _TOKEN.search(text, max(at, start))
+                yield m
+                at = m.end()
+    yield from _PLAIN.finditer(text, at)
+
+
 def tokens(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     out, spans = [], []
-    for m in _TOKEN.finditer(text):
+    for m in _matches(text):
         w = m[0]
         if len(w) > 1 and _WORDS_HAN.search(w):  # Chinese by the character
             for i, c in enumerate(w):
@@ -110,6 +147,26 @@ def tokens(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return out, spans
 
 
+def spans_of(text: str, words: list[str]) -> list[tuple[int, int]]:
+    """Where the words of a text stand; between them is nothing but blanks."""
+    out, at = [], 0
+    for w in words:
+        a = text.find(w, at)
+        at = a + len(w)
+        out.append((a, at))
+    return out
+
+
+def words_of(text: str) -> list[str]:
+    """The words of `tokens`, where no spans are wanted."""
+    if ("@" in text or "]" in text or ")" in text) and _AT.search(text):
+        return tokens(text)[0]
+    words = _PLAIN.findall(text)
+    if not text.isascii() and _WORDS_HAN.search(text):
+        words = [c for w in words for c in (w if len(w) > 1 and _WORDS_HAN.search(w) else (w,))]
+    return words
+
+
 def _shape(word: str) -> str:
     out = re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", re.sub(r"\d", "0", word))
     return out if any(c == "0" for c in out) else re.sub(r"(.)\1+", r"\1", out)
@@ -148,6 +205,28 @@ class Features:
         return out
 
 
+class FormCRF(ChainCRF):
+    """The chain with the potentials of `forms` added where words are scored."""
+
+    def _scores(self, words: list[str]) -> np.ndarray:
+        out = super()._scores(words)
+        out[self.offsets.index(0)] += forms([w.partition("\x01")[0] for w in words])
+        return out
+
+
+class _Kept(dict):
+    """What a function says of a word, kept for the words of a batch and the next ones (a memory bound, no cap)."""
+
+    def __init__(self, say: Callable[[str], object]) -> None:
+        self.say = say
+
+    def __missing__(self, word: str) -> object:
+        if len(self) > ChainCRF.KEPT:
+            self.clear()
+        self[word] = out = self.say(word)
+        return out
+
+
 class PiiModel:
     def __init__(self, samples: list[str], seed: int = 11) -> None:
         known = {w.lower() for s in samples for w in re.findall(r"[^\W\d_]+", s)}
@@ -161,8 +240,9 @@ class PiiModel:
                         common[w.lower()] = common.get(w.lower(), 0) + 1
         known |= {w for w, n in common.items() if n >= 6}
         self.known = known
+        self._keep()
         self.features = Features(known)
-        self.crf = ChainCRF(KINDS, self.features, offsets=(-3, -2, -1, 0, 1, 2, 3), bits=15)
+        self.crf = FormCRF(KINDS, self.features, offsets=(-3, -2, -1, 0, 1, 2, 3), bits=15)
         seqs, seen, gold = [], [], []
         for d in docs:
             text = "".join(t for t, _ in d)
@@ -170,7 +250,7 @@ class PiiModel:
             words, spans = tokens(text)
             if not words:
                 continue
-            marked_words = self.marked(text, words, spans)
+            marked_words = self.marked(text, words)
             piece = np.searchsorted(ends, [s for s, _ in spans], side="right")
             seqs.append(words)
             seen.append(marked_words)
@@ -187,6 +267,17 @@ class PiiModel:
         self.thresholds = np.r_[1.0, np.full(len(KINDS) - 1, 0.3)]
         self._tune(documents(samples, TUNING, seed + 1, unseen=True))
 
+    def _keep(self) -> None:
+        known = self.known
+        self.streets, self.keys = _Kept(lambda w: bool(_STREET.search(w))), _Kept(lambda w: _keys(w, known))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("streets", "keys")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._keep()
+
     def _tune(self, docs: list[list[tuple[str, str]]]) -> None:
         """Sets for each kind the threshold of the best F measure on labelled texts."""
         truth = [[(k, *span) for (_, k), span in zip(d, _spans([t for t, _ in d])) if k != "O"] for d in docs]
@@ -205,52 +296,30 @@ class PiiModel:
                     best[k], chosen[k] = f, level
         self.thresholds = chosen
 
-    def marked(self, text: str, words: list[str], spans: list[tuple[int, int]]) -> list[str]:
+    def marked(self, text: str, words: list[str]) -> list[str]:
         """The words with marks for the forms they are part of: a of an address, n of two capitalised words, one unknown."""
-        forms_at: list[tuple[int, int, str]] = [(*m.span(), "a") for m in _ADDRESS.finditer(text)]
-        forms_at += [(*m.span(), "n") for m in _UPPER_PAIR.finditer(text) if m[1].lower() not in self.known or m[3].lower() not in self.known]
-        forms_at += [(m.start(1), m.end(2), "l") for m in _INTRODUCED.finditer(text) if m[1].lower() not in self.known and m[2].lower() not in self.known]
-        forms_at += [(*m.span(1 if m[1] else 2), "h") for m in _HAN_NAME.finditer(text)]
+        known = self.known
+        forms_at: list[tuple[int, int, str]] = []
+        if "号" in text or any(map(self.streets.__getitem__, words)):
+            forms_at += [(*m.span(), "a") for m in _ADDRESS.finditer(text)]
+        forms_at += [(*m.span(), "n") for m in _UPPER_PAIR.finditer(text) if m[1].lower() not in known or m[3].lower() not in known]
+        low = text.lower()
+        if any(x in low for x in _INTRODUCING) or any(x in text for x in "İıſ"):
+            forms_at += [(m.start(1), m.end(2), "l") for m in _INTRODUCED.finditer(text) if m[1].lower() not in known and m[2].lower() not in known]
+        if not text.isascii() and _WORDS_HAN.search(text):
+            forms_at += [(*m.span(1 if m[1] else 2), "h") for m in _HAN_NAME.finditer(text)]
         if not forms_at:
             return words
         out = list(words)
+        spans = spans_of(text, words)
+        starts = [s for s, _ in spans]
         for a, b, mark in forms_at:
-            for i, (s, e) in enumerate(spans):
-                if s >= a and e <= b:
-                    out[i] += ("" if "\x01" in out[i] else "\x01") + mark
+            for i in range(bisect_left(starts, a), len(spans)):
+                if spans[i][1] > b:
+                    break
+                out[i] += ("" if "\x01" in out[i] else "\x01") + mark
         return out
 
-    def windows(self, text: str) -> list[tuple[int, int]]:
-        """Merged neighbourhoods of the triggers of a text."""
-        hits: list[tuple[int, int]] = []
-        if "@" in text or "at]" in text or "at)" in text or "AT" in text:
-            hits += [m.span() for m in _AT.finditer(text)]
-        hits += [m.span() for m in _CHAIN.finditer(text)]
-        for m in _STREET.finditer(text):
-            if _DIGITS.search(text, max(0, m.start() - 30), min(len(text), m.end() + 40)):
-                hits.append(m.span())
-        known = self.known
-        for m in _UPPER_PAIR.finditer(text):
-            if m[1].lower() not in known or m[3].lower() not in known:
-                hits.append(m.span())
-        hits += [m.span() for m in _INTRODUCED.finditer(text) if m[1].lower() not in known and m[2].lower() not in known]
-        hits += [m.span() for m in _HAN_NAME.finditer(text)]
-        if not hits:
-            return []
-        hits.sort()
-        out: list[list[int]] = []
-        for a, b in hits:
-            a, b = max(0, a - _BEFORE), min(len(text), b + _AFTER)
-            while a > 0 and text[a - 1].isalnum():
-                a -= 1
-            while b < len(text) and text[b].isalnum():
-                b += 1
-            if out and a <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], b)
-            else:
-                out.append([a, b])
-        return [(a, b) for a, b in out]
-
     def _trim(self, kind: str, words: list[str], a: int, b: int) -> tuple[int, int]:
         """The span without line ends and marks at its ends, a name also without known words before it.
 
@@ -311,7 +380,7 @@ class PiiModel:
             letters = sum("A" <= c <= "Z" for c in text) if kind == "id_number" else 0
             return (digits >= 7 or digits >= 6 and letters >= 2) and before != "#" and not _NOT_NUMBER.match(text)
         if kind == "street":
-            return digits >= 1 and bool(_STREET.search(text) or _WORDS_HAN.search(text))
+            return digits >= 1 and bool(_STREET.search(text) or _STREET_HAN.search(text))
         if any(not (w[0].isalpha() or w in ".,-'’") for w in words):
             return False
         if all("㐀" <= w[0] <= "鿿" for w in words):
@@ -324,53 +393,73 @@ class PiiModel:
 
     def label(self, records: list[list[str | None]]) -> list[list[tuple[int, str, int, int, float]]]:
         """For each record (its turns' texts) the spans found: (turn, kind, start, stop, confidence)."""
-        seqs: list[list[str]] = []
-        seen: list[list[str]] = []
-        places: list[list[tuple[int, int, int]]] = []
-        owner: list[int] = []
-        for i, turns in enumerate(records):
-            words: list[str] = []
-            shown: list[str] = []
-            where: list[tuple[int, int, int]] = []
-            for t, text in enumerate(turns):
-                if not text:
-                    continue
-                for a, b in self.windows(text):
-                    w, s = tokens(text[a:b])
-                    words += [*w, "\n"]
-                    shown += [*self.marked(text[a:b], w, s), "\n"]
-                    where += [*((t, a + x, a + y) for x, y in s), (-1, 0, 0)]
-            if words:
-                seqs.append(words)
-                seen.append(shown)
-                places.append(where)
-                owner.append(i)
-        edges = [skip_edges(w, self.known) for w in seqs]
-        emissions = [e + forms(w) for e, w in zip(self.crf.emissions(seen), seqs)]
-        marg: list[np.ndarray] = [np.zeros(0)] * len(seqs)
-        for tied in (False, True):  # exact inference for chains without an edge, message passing for the others
-            pick = [k for k in range(len(seqs)) if bool(edges[k]) == tied]
-            for k, m in zip(pick, skip_chain_marginals([emissions[k] for k in pick], [edges[k] for k in pick], self.crf.trans, self.crf.start, self.agree)):
-                marg[k] = m
+        out: list[list[tuple[int, str, int, int, float]]] = []
+        part: list[list[str | None]] = []
+        size = 0
+        for turns in records:
+            part.append(turns)
+            size += sum(len(t) for t in turns if t)
+            if size >= AT_ONCE:
+                out += self._label(part)
+                part, size = [], 0
+        return out + self._label(part)
+
+    def _label(self, records: list[list[str | None]]) -> list[list[tuple[int, str, int, int, float]]]:
+        turns = [(i, t, w) for i, texts in enumerate(records) for t, text in enumerate(texts) if text and (w := words_of(text))]
+        emissions = self.crf.emissions([self.marked(records[i][t], w) for i, t, w in turns])
+        # turns without an edge are chains of their own; the others of a record are joined by places that are nobody's
+        single, joined = list(range(len(turns))), []
+        edges: list[list[tuple[int, int]]] = []
+        ends = np.cumsum([0, *(len(w) + 1 for *_, w in turns)])
+        bounds = np.searchsorted([i for i, *_ in turns], np.arange(len(records) + 1))
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            words = [w for k in range(lo, hi) for w in (*turns[k][2], "\n")]
+            if tied := skip_edges(words, self.known, self.keys):
+                begin = ends[lo : hi + 1] - ends[lo]
+                at = np.array(tied)
+                of = np.searchsorted(begin, at, side="right") - 1
+                pick = np.unique(of)
+                sizes = np.diff(begin)[pick]
+                shift = np.zeros(hi - lo, np.int64)
+                shift[pick] = np.cumsum(sizes) - sizes - begin[pick]
+                edges.append([(a, b) for a, b in (at + shift[of]).tolist()])
+                joined.append([lo + x for x in pick.tolist()])
+        for ks in joined:
+            for k in ks:
+                single[k] = -1
+        single = [k for k in single if k >= 0]
+        marg: list[np.ndarray] = [np.zeros(0)] * len(turns)
+        infer = lambda e, x: skip_chain_marginals(e, x, self.crf.trans, self.crf.start, self.agree)
+        for k, m in zip(single, infer([emissions[k] for k in single], [[]] * len(single))):
+            marg[k] = m
+        for ks, m in zip(joined, infer([np.concatenate([x for k in ks for x in (emissions[k], _BETWEEN)]) for ks in joined], edges)):
+            at = 0
+            for k in ks:
+                n = len(turns[k][2])
+                marg[k] = m[at : at + n]
+                at += n + 1
+        least = self.thresholds[1:].min()
         out: list[list[tuple[int, str, int, int, float]]] = [[] for _ in records]
-        for words, where, p, i in zip(seqs, places, marg, owner):
+        for (i, t, words), p in zip(turns, marg):
+            if 1 - p[:, 0].min() <= least:
+                continue
             kinds = 1 + p[:, 1:].argmax(1)
             y = np.where(1 - p[:, 0] > self.thresholds[kinds], kinds, 0)
             if not y.any():
                 continue
+            where = spans_of(records[i][t], words)
             edge = np.r_[np.flatnonzero(np.r_[True, y[1:] != y[:-1]]), len(y)]
             for a, b in zip(edge[:-1], edge[1:]):
                 k = int(y[a])
                 if not k:
                     continue
-                for c, d in _runs(where, a, b):
-                    kind = KINDS[k]
-                    c, d = self._trim(kind, words, c, d)
-                    if kind == "name" and (of := [x for x in range(max(0, c - 3), c) if _STREET.fullmatch(words[x])]):
-                        kind = "street"  # a street named after somebody
-                        c, d = self._trim(kind, words, of[0], d)
-                    if c < d and self._plausible(kind, words[c:d], words[c - 1] if c else ""):
-                        out[i].append((where[c][0], kind, where[c][1], where[d - 1][2], float(p[c:d, k].mean())))
+                kind = KINDS[k]
+                c, d = self._trim(kind, words, a, b)
+                if kind == "name" and (street := [x for x in range(max(0, c - 3), c) if _STREET.fullmatch(words[x])]):
+                    kind = "street"  # a street named after somebody
+                    c, d = self._trim(kind, words, street[0], d)
+                if c < d and self._plausible(kind, words[c:d], words[c - 1] if c else ""):
+                    out[i].append((t, kind, where[c][0], where[d - 1][1], float(p[c:d, k].mean())))
         return out
 
 
@@ -379,28 +468,23 @@ def _spans(texts: list[str]) -> list[tuple[int, int]]:
     return list(zip([0, *ends[:-1]], ends))
 
 
-def _runs(where: list[tuple[int, int, int]], a: int, b: int) -> list[tuple[int, int]]:
-    """Parts of [a, b) within one turn."""
-    out, start = [], a
-    for i in range(a, b + 1):
-        if i == b or where[i][0] != where[start][0]:
-            if where[start][0] >= 0:
-                out.append((start, i))
-            start = i
-    return out
+def _keys(word: str, known: set[str]) -> tuple[str, ...]:
+    """By what a telling word is tied to others."""
+    if len(word) < 3 or not (word[0].isupper() or word[0].isdigit() or word[0] in "+(" or "@" in word):
+        return ()
+    low = word.lower()
+    if low in known:
+        return ()
+    return (low,) if word[0].isdigit() else tuple({low, *(p for p in re.split(r"['’-]", low) if len(p) > 3)})
 
 
-def skip_edges(words: list[str], known: set[str]) -> list[tuple[int, int]]:
+def skip_edges(words: list[str], known: set[str], keys: dict[str, tuple[str, ...]] | None = None) -> list[tuple[int, int]]:
     """Pairs of places with the same or a similar telling token: each occurrence is tied to the one before it."""
+    keys = _Kept(lambda w: _keys(w, known)) if keys is None else keys
     last: dict[str, int] = {}
     out = []
-    for i, w in enumerate(words):
-        if len(w) < 3 or not (w[0].isupper() or w[0].isdigit() or w[0] in "+(" or "@" in w):
-            continue
-        low = w.lower()
-        if low in known:
-            continue
-        for key in {low, *(p for p in re.split(r"['’-]", low) if len(p) > 3)} if not w[0].isdigit() else {low}:
+    for i, telling in enumerate(map(keys.__getitem__, words)):
+        for key in telling:
             if key in last and last[key] != i:
                 out.append((last[key], i))
             last[key] = i
